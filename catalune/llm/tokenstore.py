@@ -127,6 +127,9 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.known = Tokenizer.from_file(path), {}
@@ -135,11 +138,11 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+    def _learn(self, pieces: set[bytes]) -> None:
+        new = sorted(pieces.difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list(dict.fromkeys(pieces))
+            new = sorted(pieces)
         ends = [(p, c) for p in new if (c := p.rstrip(b".,")) != p and c and c[-1:].isalnum()]
         cut = {p for p, _ in ends}
         need = list(dict.fromkeys(q for q in [*(p for p in new if p not in cut), *(x for p, c in ends for x in (c, p[len(c) :]))] if q not in self.known))
@@ -150,23 +153,21 @@ class PieceEncoder:
         for i in range(0, len(rest), 200):
             part = rest[i : i + 200]
             (ids,) = self._ids([b" 0 ".join(part).decode()])
-            for q, x in zip(part, np.split(ids, np.flatnonzero(ids == self.zero)), strict=True):
-                self.known[q] = x.tobytes() if q is part[0] else x[1:].tobytes()
+            raw, at = ids.tobytes(), 0
+            for q, z in zip(part, [*(np.flatnonzero(ids == self.zero) * 4).tolist(), len(raw)], strict=True):
+                self.known[q] = raw[at:z]
+                at = z + 4
         for p, c in ends:
             self.known[p] = self.known[c] + self.known[p[len(c) :]]
 
     def encode(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
-        for text in texts:
-            if b"<|" in text:
-                yield self._ids([text.decode()])[0].tobytes() + end
-                continue
-            pieces = text.lower().split()
-            try:
-                raw = b"".join(map(self.known.get, pieces))
-            except TypeError:  # some aren't known
-                self._learn(pieces)
-                raw = b"".join(map(self.known.get, pieces))
-            yield raw + end
+        """What is new in all the texts is learned first, so pass a few hundred at a time."""
+        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        words: set[bytes] = set()
+        words.update(*filter(None, split))
+        self._learn(words)
+        for text, pieces in zip(texts, split, strict=True):
+            yield (self._ids([text.decode()])[0].tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))) + end
 
 
 def open_at(uri: str):
