@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from catalune.llm.common import table
 
 
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.simhash import components
+
+    return components(table(spark, sf_dir, "documents"), d=2, shingle=3, seed=42)
+
+
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.fmindex import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
