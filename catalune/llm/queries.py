@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from catalune.llm.common import table
 
 
+def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.nbsvm import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalune.llm.simhash import components
 
