@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from catalune.llm.common import Scratch, as_bytes
 
 MAGIC = b"BPLANES1"
-CACHE = 600_000  #: pieces of text whose ids a worker keeps; beyond it the cache starts anew
+CACHE = 1_000_000  #: pieces of text whose ids a worker keeps; beyond it the cache starts anew
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -170,6 +170,16 @@ class PieceEncoder:
             yield (self._ids([text.decode()])[0].tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))) + end
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """This process's encoder: what one task has learned serves the worker's next ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def open_at(uri: str):
     """pyarrow's file system and path of a URI; a path without scheme is local."""
     from pyarrow import fs
@@ -200,7 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 tmp = f"{path}.{ctx.taskAttemptId()}"
                 out = system.open_output_stream(tmp)
-                enc, w = PieceEncoder(tokenizer), Writer(out, block, mode)
+                enc, w = encoder(tokenizer), Writer(out, block, mode)
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 for doc, raw in zip(part.column("id").to_pylist(), enc.encode(as_bytes(part, "text"), end), strict=True):
