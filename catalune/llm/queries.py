@@ -21,6 +21,19 @@ def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), d=2, shingle=3, seed=42)
 
 
+def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.isoforest import judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.langzip import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalune.llm.fmindex import contamination
 
