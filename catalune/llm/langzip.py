@@ -1,12 +1,14 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes the text smallest.
 
-A dictionary is whole training texts of one language, joined. Texts are compressed in pieces with every dictionary
-and the sizes added up, so a long text keeps depending on the dictionary. Narrow margins are rejected.
+A dictionary is the words of whole training texts of one language, the most frequent last, where they are cheapest
+to refer to. Texts are compressed in pieces with every dictionary and the sizes added up, so a long text keeps
+depending on the dictionary. Narrow margins are rejected.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,12 @@ from pyspark.sql import functions as F
 
 from catalune.llm.common import as_bytes, fold, per_batch
 
-DICT_BYTES = 48 << 10  #: of a language's dictionary
+DICT_BYTES = 32 << 10  #: of a language's dictionary
 TEXTS = 400  #: training texts of a language that are looked at, at most
+LONGEST = 200_000  #: bytes of a training text at most; longer ones are not learned from
 LANGS = 64  #: languages with most training rows that are learned
-PIECE = 4096  #: bytes that are compressed together
-LEVEL = 3
+PIECE = 2000  #: bytes that are compressed together
+LEVEL = 12
 MARGIN = 0.01  #: smaller shares of the second smallest size are rejected
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -66,24 +69,24 @@ class Model:
 def train(docs: DataFrame, rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = DICT_BYTES, texts: int = TEXTS, langs: int = LANGS, **how) -> Model:
     """Dictionaries from the whole texts of at most ``texts`` rows a language, the first by a hash of id and text.
 
-    Texts longer than an eighth of the dictionary are left out, so that it holds many; if all are longer, the
-    shortest is cut into it. Both bounds are fixed, so what comes to the driver doesn't grow with the input.
+    Both bounds are fixed, so what comes to the driver doesn't grow with the input. Words in more of the texts come
+    later, ties in order of bytes.
     """
     pool = docs.where(F.col(lang_col).isNotNull() & rows).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    pool = pool.withColumn("n", F.octet_length("text")).where("n > 0")
+    pool = pool.where(F.octet_length("text").between(1, LONGEST))
     named = [r["l"] for r in pool.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()]
     dicts = {}
     for lang in named:
-        own = pool.where(F.col("l") == lang)
-        got = own.where(F.col("n") <= dict_bytes // 8).orderBy("h", "text").limit(texts).select("text").collect() or own.orderBy("n", "h").limit(1).select("text").collect()
+        found: Counter[bytes] = Counter()
+        for r in pool.where(F.col("l") == lang).orderBy("h", "text").limit(texts).select("text").toLocalIterator():
+            found.update(set(folded(r["text"].encode()).split()))
         raw, n = [], 0
-        for r in got:
-            t = folded(r["text"].encode())
-            if n + len(t) > dict_bytes and raw:
-                continue
-            raw.append(t[-dict_bytes:])
-            n += len(raw[-1]) + 1
-        dicts[lang] = b" ".join(raw)
+        for w in sorted(found, key=lambda w: (-found[w], w)):
+            n += len(w) + 1
+            if n > dict_bytes:
+                break
+            raw.append(w)
+        dicts[lang] = b" ".join(reversed(raw)) + b" "
     return Model({k: v for k, v in dicts.items() if v.strip()}, **how)
 
 
