@@ -40,6 +40,12 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.crf import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
