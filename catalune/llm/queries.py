@@ -21,6 +21,12 @@ def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), d=2, shingle=3, seed=42)
 
 
+def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalune.llm.isoforest import judge, train
 
