@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalune.llm.common import table
 
+PSEUDONYM_KEY = "catalune-demonstration-key"  #: for the query on synthetic data; pass a secret of your own
+
+
+def op1_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from catalune.llm.urltree import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), bad=F.col("quality") == 0)
+
 
 def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalune.llm.nbsvm import quality
@@ -15,6 +25,12 @@ def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalune.llm.pseudonyms import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
 def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catalune.llm.simhash import components
 
