@@ -19,6 +19,7 @@ DEPTH = 3  #: segments that the tree tells apart; what lies deeper shares their
 MANY = 16  #: values under one template above which rare ones are variable
 RARE = 0.05  #: share of a template's urls below which a value is rare
 Z = 1.96  #: standard errors below which a branch is like its siblings
+LABELS = 8  #: labels that a branch needs to be compared
 PRIOR, WEIGHT = 0.2, 5.0  #: share of bad urls assumed without labels, and how many labels it counts for
 REJECT = 0.5
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +73,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
         parent = child.groupBy("host", "tmpl").agg(F.count("*").alias("kinds"), *(F.sum(c).alias(f"p{c}") for c in "nlb"))
         p = F.col("pb") / F.col("pl")
         err = F.sqrt(p * (1 - p) / F.col("l") * (1 - F.col("l") / F.col("pl")))
-        alike = (F.col("l") > 0) & (F.col("l") < F.col("pl")) & (F.abs(F.col("b") / F.col("l") - p) <= Z * err)
+        alike = (F.col("l") >= LABELS) & (F.col("l") < F.col("pl")) & (F.abs(F.col("b") / F.col("l") - p) <= Z * err)
         token = (
             F.when(F.col(f"s{i}") == "", "")
             .when((F.col("kinds") > MANY) & (F.col("n") < RARE * F.col("pn")), "*")
