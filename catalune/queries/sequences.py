@@ -47,11 +47,11 @@ def flux(t):
 @query(
     "acf_small", "W8",
     """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS v FROM events), n AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1)
-       SELECT a.user_id, l AS lag, round(sum(a.v * b.v) / (any_value(n) - l), 4) AS r FROM e a JOIN range(1, 9) x(l) ON true JOIN e b ON b.user_id = a.user_id AND b.i = a.i - l JOIN n ON n.user_id = a.user_id GROUP BY a.user_id, l""",
+       SELECT a.user_id, l AS lag, round(sum(a.v * b.v) / (any_value(n) - l), 1) AS r FROM e a JOIN range(1, 9) x(l) ON true JOIN e b ON b.user_id = a.user_id AND b.i = a.i - l JOIN n ON n.user_id = a.user_id GROUP BY a.user_id, l""",
 )
 def acf_small(t):
     d = t.events.select("user_id", F.row_number().over(W.partitionBy(*KEY).orderBy(*ORDER)).alias("i"), F.col("value").alias("v"))
-    return S.autocorrelation(d, KEY, "i", "v", 8).select("user_id", F.col("lag").cast("long").alias("lag"), F.round("r", 4).alias("r"))
+    return S.autocorrelation(d, KEY, "i", "v", 8).select("user_id", F.col("lag").cast("long").alias("lag"), F.round("r", 1).alias("r"))
 
 
 @query("first_per_key", "W9", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
