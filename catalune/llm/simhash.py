@@ -182,8 +182,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     best = classes.where("low <=> first").groupBy("comp").agg(F.min("fp").alias("fp"))
     best = rows.join(best.join(classes.select("comp", "fp", "first"), ["comp", "fp"]), "fp").where("id <=> first")
-    best = best.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"))
+    best = best.groupBy("fp", "id", "th").agg(F.count("*").alias("m")).groupBy("fp").agg(F.min(F.struct("id", "th", "m")).alias("x"))
+    best = best.select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"), F.col("x.m").alias("__m"))
     names = docs.columns
     marked = docs.withColumn("__h", F.xxhash64(text_col))
     kept = marked.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")))
-    return kept.dropDuplicates(["__id", "__th"]).select(*(F.col(f"`{c}`") for c in names))
+    # only rows that are repeated, id and text, are dealt out again to leave one of them
+    one, more = kept.where("__m = 1"), kept.where("__m > 1").dropDuplicates(["__id", "__th"])
+    return one.unionByName(more).select(*(F.col(f"`{c}`") for c in names))
