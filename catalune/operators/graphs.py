@@ -62,17 +62,17 @@ def linked_order(items: DataFrame, chain: str, id_col: str, next_col: str) -> Da
     """Places (from 0) along next-pointers by pointer doubling: log2 of the longest chain joins. Items that no chain
     from a head reaches follow, by id."""
     nodes = items.select(F.col(chain).alias("c"), F.col(id_col).alias("id"), F.col(next_col).alias("to"))
-    nodes = nodes.join(nodes.select("c", F.col("id").alias("to"), F.lit(True).alias("__there")), ["c", "to"], "left").select("c", "id", F.when("__there", F.col("to")).alias("to"))
-    nodes = _kept(nodes)
-    # distance to the end of the chain; a cycle never gets one
-    step = nodes.select("c", "id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d"))
-    for _ in range(40):
+    there = nodes.select("c", F.col("id").alias("to"), F.lit(True).alias("__there"))
+    nodes = nodes.join(there, ["c", "to"], "left").select("c", "id", F.when(F.col("__there"), F.col("to")).alias("to"))
+    # distance to the end of the chain, doubled each round; a cycle never gets one, and rounds that end nothing are the last
+    step = _kept(nodes.select("c", "id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    open_ = step.where("to is not null").count()
+    while open_:
         ahead = step.select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        step = _kept(step.join(ahead, ["c", "to"], "left").select("c", "id", "to2", F.when(F.col("to").isNull(), F.col("d")).otherwise(F.col("d") + F.col("d2")).alias("d")).withColumnRenamed("to2", "to"))
-        longest = step.where("to is not null").agg(F.max("d")).first()[0]
-        if longest is None or longest > 2**39:
-            break
-        if step.where("to is not null and d < 1000000000000").isEmpty() or longest >= 2 * nodes.count():
+        far = F.when(F.col("to").isNull(), F.col("d")).otherwise(F.col("d") + F.col("d2"))
+        step = _kept(step.join(ahead, ["c", "to"], "left").select("c", "id", F.col("to2").alias("to"), far.alias("d")))
+        was, open_ = open_, step.where("to is not null").count()
+        if was == open_:
             break
     ends = step.select("c", "id", F.when(F.col("to").isNull(), F.col("d")).alias("left"))
     w = W.partitionBy("c").orderBy(F.col("left").isNull(), F.desc("left"), "id")
