@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -66,6 +66,11 @@ def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
     return d.join(F.broadcast(sample), "id").dropDuplicates(["id"])
 
 
+def packed(docs: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """(row, key, hash): all columns in one struct, so that no name of theirs can meet one of ours; select row.* after."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("key"), digest.alias("hash"))
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8; null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalune.llm.common import WORD, Scratch
+from catalune.llm.common import WORD, Scratch, packed
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3  #: times a document or source at most
@@ -146,10 +146,8 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, all columns, each as many times as the mix takes it."""
-    names = docs.columns
-    taken = mix(docs, id_col=id_col, **how).groupBy("id", "h").agg(F.sum("copies").alias("__k"), F.count("*").alias("__m")).where("__k > 0")
-    taken = taken.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__k", "__m")
-    mine = docs.withColumn("__own", F.xxhash64(*(F.col(f"`{c}`") for c in names)))
-    both = mine.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")))
-    one, more = both.where("__m = 1"), both.where("__m > 1").dropDuplicates(["__id", "__h"])
-    return one.unionByName(more).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
+    taken = mix(docs, id_col=id_col, **how).groupBy("id", "h").agg(F.sum("copies").alias("k"), F.count("*").alias("m")).where("k > 0")
+    own = packed(docs, id_col, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    both = own.join(taken, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
+    one, more = both.where("m = 1"), both.where("m > 1").dropDuplicates(["id", "h"])
+    return one.unionByName(more).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).select("row.*")

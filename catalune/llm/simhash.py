@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalune.llm.common import Scratch, as_bytes, connected_components, per_batch
+from catalune.llm.common import Scratch, as_bytes, connected_components, packed, per_batch
 
 CAP = 1024  #: classes under one key before it is refined
 REFINE = 2  #: times at most; no more than 2 to the power of the bits left can then share a key
@@ -183,10 +183,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = classes.where("low <=> first").groupBy("comp").agg(F.min("fp").alias("fp"))
     best = rows.join(best.join(classes.select("comp", "fp", "first"), ["comp", "fp"]), "fp").where("id <=> first")
     best = best.groupBy("fp", "id", "th").agg(F.count("*").alias("m")).groupBy("fp").agg(F.min(F.struct("id", "th", "m")).alias("x"))
-    best = best.select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"), F.col("x.m").alias("__m"))
-    names = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64(text_col))
-    kept = marked.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")))
+    best = best.select("x.id", "x.th", "x.m")
+    kept = packed(docs, id_col, F.xxhash64(F.col(text_col))).join(best, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
     # only rows that are repeated, id and text, are dealt out again to leave one of them
-    one, more = kept.where("__m = 1"), kept.where("__m > 1").dropDuplicates(["__id", "__th"])
-    return one.unionByName(more).select(*(F.col(f"`{c}`") for c in names))
+    one, more = kept.where("m = 1"), kept.where("m > 1").dropDuplicates(["id", "th"])
+    return one.unionByName(more).select("row.*")
