@@ -9,14 +9,13 @@ from catalune.operators import changes as C
 from catalune.operators import edits as E
 from catalune.queries import query
 
-K = F.col("c_custkey")
 _SIDES = """b AS (SELECT c_custkey AS k, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 10 <> 9),
        l AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 5 = 0 THEN 'LOCAL' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 11 <> 0),
        r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN c_acctbal + 2 WHEN c_custkey % 7 = 0 THEN c_acctbal + 3 ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 10 = 0 THEN 'REMOTE' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 13 <> 0)"""
 
 
 def _sides(t):
-    c, bal, seg = t.customer, F.col("c_acctbal"), F.col("c_mktsegment")
+    c, K, bal, seg = t.customer, F.col("c_custkey"), F.col("c_acctbal"), F.col("c_mktsegment")  # noqa: N806
     one = lambda d, b, s: d.select(K.alias("k"), b.alias("bal"), s.alias("seg"))
     b = one(c.where(K % 10 != 9), bal, seg)
     l = one(c.where(K % 11 != 0), F.when(K % 3 == 0, bal + 1).otherwise(bal), F.when(K % 5 == 0, "LOCAL").otherwise(seg))  # noqa: E741
