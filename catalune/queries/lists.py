@@ -183,7 +183,7 @@ def seeded_shuffle(t):
     return t.nation.select("n_name", F.row_number().over(W.orderBy(r, "n_nationkey")).cast("long").alias("place"))
 
 
-@query("facet_sorted", "A9", "SELECT p_brand AS value, count(*) AS tracks FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 7")
+@query("facet_sorted", "A9", "SELECT p_brand AS value, count(*) AS tracks FROM part GROUP BY p_brand ORDER BY count(*) DESC, cast(substr(p_brand, 7) AS INTEGER) LIMIT 7")
 def facet_sorted(t):
     items = facets.facet_items(t.part, F.col("p_brand"), "p_retailprice")
     return facets.facet_sorted(items, by="tracks").limit(7).select("value", "tracks")
