@@ -49,7 +49,7 @@ def counts_except(df: DataFrame, ticked: dict[str, list]) -> DataFrame:
     if not want:
         return got
     spine = df.sparkSession.createDataFrame(want, "facet string, value string")
-    return got.join(F.broadcast(spine), ["facet", "value"], "full_outer").select("facet", "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return got.join(spine, ["facet", "value"], "full_outer").select("facet", "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def collapse(df: DataFrame, group: str, order: list) -> DataFrame:

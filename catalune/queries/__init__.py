@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 OPERATORS: dict[str, str] = {}
-MODULES = ["scalars", "lists", "reports", "sequences", "matching", "hierarchy", "changes", "making", "signals"]
+MODULES = ["scalars", "lists", "reports", "sequences", "matching", "hierarchy", "changes", "making", "signals", "further"]
 
 
 class Tables:

@@ -180,7 +180,10 @@ def seeded_shuffle(t):
     from catalune.functions.music import prng
 
     r = prng(F.lit(42).cast("long"), (F.col("n_nationkey") + 1).cast("long"))
-    return t.nation.select("n_name", F.row_number().over(W.orderBy(r, "n_nationkey")).cast("long").alias("place"))
+    from catalune.plans.listing import global_position
+
+    d = t.nation.select("n_name", "n_nationkey", r.alias("r"))
+    return global_position(d, [F.col("r"), F.col("n_nationkey")], "place").select("n_name", "place")
 
 
 @query("facet_sorted", "A9", "SELECT p_brand AS value, count(*) AS tracks FROM part GROUP BY p_brand ORDER BY count(*) DESC, cast(substr(p_brand, 7) AS INTEGER) LIMIT 7")

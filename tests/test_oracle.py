@@ -29,7 +29,7 @@ def norm(v):
 
 
 def test_all_modules_load():
-    assert len(MODULES) == 9 and len(QUERIES) > 150 and set(ORACLE) <= set(QUERIES) == set(OPERATORS)
+    assert len(MODULES) == 10 and len(QUERIES) > 150 and set(ORACLE) <= set(QUERIES) == set(OPERATORS)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
