@@ -42,6 +42,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return pick([h + p for h, p, _ in order]), pick([v for *_, v in order])
 
 
+def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """An inner join whose left side may hold very many rows of one key: they are spread over salts, and the right
+    side, which has one row a key, is there for each."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, template, purity (the smoothed share of bad labels).
 
@@ -80,18 +88,15 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
             .when(alike, "~")
             .otherwise(F.col(f"s{i}"))
         )
-        child = scratch.keep(child.join(parent, ["host", "tmpl"]).withColumn("token", token).select("host", "tmpl", f"s{i}", "token", "l", "b", "purity"), f"values{i}")
+        child = scratch.keep(_salted(child, parent, ["host", "tmpl"], f"s{i}").withColumn("token", token).select("host", "tmpl", f"s{i}", "token", "l", "b", "purity"), f"values{i}")
         node = child.groupBy("host", "tmpl", "token").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
         # a node that is all of its parent's labels, or an end of path, is smoothed like any other
         pure = (F.col("nb") + WEIGHT * F.col("purity")) / (F.col("nl") + WEIGHT)
-        step = child.drop("l", "b").join(node, ["host", "tmpl", "token"]).select("host", "tmpl", f"s{i}", "token", pure.alias("pure"))
+        step = _salted(child.drop("l", "b"), node, ["host", "tmpl", "token"], f"s{i}").select("host", "tmpl", f"s{i}", "token", pure.alias("pure"))
         urls = urls.join(step, ["host", "tmpl", f"s{i}"])
         urls = urls.withColumns({"tmpl": F.when(F.col("token") == "", F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), "token")), "purity": F.col("pure")}).drop("token", "pure")
         urls = scratch.keep(urls, f"urls{i + 1}")
-    # a url that very many pages share is one row here: its pages are spread over salts
-    salts = 8
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    spread = urls.select("host", *seg, "tmpl", "purity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    out = salted.join(spread, ["host", *seg, "salt"])
+    # a url that very many pages share is one row in urls
+    out = _salted(rows, urls.select("host", *seg, "tmpl", "purity"), ["host", *seg], "id")
     final = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", final.alias("verdict"), F.concat("host", "tmpl").alias("template"), F.round("purity", 6).alias("purity"))
