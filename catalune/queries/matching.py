@@ -81,7 +81,7 @@ def vote_prefix(t):
 
 def _song(d, id_col, title, artist, length):
     name = X.song_name(title)
-    return d.select(F.col(id_col).alias("id"), F.struct(name.alias("title"), F.replace(name, F.lit(" "), F.lit("")).alias("joined"), X.words(name).alias("words"), F.lit("").alias("file"), X.song_name(artist).alias("artist"), X.artists(artist).alias("artists"), F.lit("").alias("album"), X.version(title).alias("version"), length.cast("double").alias("duration"), F.lit(0).alias("size")).alias("s"))
+    return d.select(F.col(id_col).alias("id"), F.struct(name.alias("title"), F.replace(name, F.lit(" "), F.lit("")).alias("joined"), X.words(name).alias("words"), F.lit("").alias("file"), X.song_name(artist).alias("artist"), X.artists(artist).alias("artists"), X.words(X.song_name(artist)).alias("artist_words"), F.lit("").alias("album"), X.version(title).alias("version"), length.cast("double").alias("duration"), F.lit(0).alias("size")).alias("s"))
 
 
 @query("relink_scored", "J11 J12 W10 W11 M15 M29")
@@ -89,11 +89,12 @@ def relink_scored(t):
     p = t.part
     old = _song(p.where("p_partkey % 10 = 0"), "p_partkey", F.concat("p_name", F.lit(" (Album Version)")), F.col("p_brand"), F.col("p_size")).withColumnRenamed("id", "o").withColumnRenamed("s", "so")
     new = _song(p.where("p_partkey % 10 <> 0"), "p_partkey", F.col("p_name"), F.concat("p_brand", F.lit(" & Friends")), F.col("p_size")).withColumnRenamed("id", "c").withColumnRenamed("s", "sc")
-    cand = J.rarest_word_candidates(old.select("o", F.col("so.words").alias("w")), new.select("c", F.col("sc.words").alias("w2")), "o", "w", "c", "w2")
     fields = old.schema["so"].dataType.names
-    both = cand.join(old, "o").join(new, "c")
+    joined = lambda c: F.nullif(F.col(c), F.lit(""))
+    both = J.blocked_pairs(old, new, "o", F.col("so.words"), "c", F.col("sc.words"), [joined("so.joined")], [joined("sc.joined")])
     score = J.relink_score({f: F.col(f"so.{f}") for f in fields}, {f: F.col(f"sc.{f}") for f in fields})
-    return J.best_matches(both.select("o", "c", score.alias("sure")), "o", "c", "sure").select("o", "c", "sure", "rank")
+    scored = both.select("o", "c", score.alias("sure")).where("sure >= 50").distinct()
+    return J.best_matches(scored, "o", "c", "sure").select("o", "c", "sure", "rank")
 
 
 @query("word_overlap", "J12 P34", """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS b FROM part)

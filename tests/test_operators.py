@@ -235,3 +235,23 @@ def test_fingerprint_survives_noise():
     c, _ = signals.fingerprint(rng.normal(size=len(x)), 8000)
     ber = lambda p, q: np.mean([bin(i ^ j).count("1") / 32 for i, j in zip(p, q, strict=True)])
     assert ber(a, b) < 0.3 < 0.4 < ber(a, c)
+
+
+def _song(spark, rows):
+    d = spark.createDataFrame(rows, "id int, title string, artist string, d double")
+    name = X.song_name(F.col("title"))
+    return d.select("id", F.struct(name.alias("title"), F.replace(name, F.lit(" "), F.lit("")).alias("joined"), X.words(name).alias("words"), F.lit("").alias("file"), X.song_name(F.col("artist")).alias("artist"), X.artists(F.col("artist")).alias("artists"), X.words(X.song_name(F.col("artist"))).alias("artist_words"), F.lit("").alias("album"), X.version(F.col("title")).alias("version"), F.col("d").alias("duration"), F.lit(0).alias("size")).alias("s"))
+
+
+def test_relink_scores(spark):
+    old = _song(spark, [(1, "Blue River", "A & B", 200.0), (2, "Ruff House", "C", None), (3, "Alone", "D", 100.0)]).withColumnRenamed("id", "o").withColumnRenamed("s", "so")
+    new = _song(spark, [(10, "Blue River", "B, A", 201.0), (11, "Blue River (Remix)", "A", 200.0), (12, "Ruffhouse", "C", 90.0), (13, "Blue Table", "Z", 200.0), (14, "River Blue", "A", 300.0)]).withColumnRenamed("id", "c").withColumnRenamed("s", "sc")
+    joined = lambda c: F.nullif(F.col(c), F.lit(""))
+    both = matching.blocked_pairs(old, new, "o", F.col("so.words"), "c", F.col("sc.words"), [joined("so.joined")], [joined("sc.joined")])
+    f = old.schema["so"].dataType.names
+    got = {(r["o"], r["c"]): r["x"] for r in both.select("o", "c", matching.relink_score({k: F.col(f"so.{k}") for k in f}, {k: F.col(f"sc.{k}") for k in f}).alias("x")).collect()}
+    # title 45, artist 25 or 15, length 20, 6 if unknown, -50 if far; another version 40 at most; other titles 0
+    assert got[1, 10] == 90 and got[1, 11] == 40 and got[2, 12] == 76 and got.get((1, 13), 0) == 0 and got.get((1, 14), 0) == 0
+    assert not any(o == 3 for o, _ in got)
+    top = matching.best_matches(spark.createDataFrame([(1, 10, 90), (1, 11, 88), (1, 12, 60), (1, 13, 55), (2, 10, 49)], "o int, c int, x int"), "o", "c", "x").collect()
+    assert sorted((r["c"], r["x"], r["rank"]) for r in top) == [(10, 80, 1), (11, 88, 2), (12, 60, 3)]
