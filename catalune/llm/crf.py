@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from catalune.llm.common import as_bytes, fold, label_sample, per_batch, sampled_texts
 from catalune.llm.nbsvm import logistic
+from catalune.llm.simhash import fingerprint
 
 DIM = 1 << 17
-PER_CLASS = 1000  #: labelled documents of each class at most
+PER_CLASS = 1500  #: labelled documents of each class at most
 SEGMENT = 48  #: tokens of a training sequence
 SEGMENTS = 2400  #: training sequences at most
 LIFT, SUPPORT = 12.0, 5
@@ -237,7 +238,22 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
     return learn(texts, y, float(share))
 
 
+def unlike(texts: list[bytes], within: int = 12) -> list[int]:
+    """Places of texts that are no near copies of earlier ones, by 64-bit fingerprints of the (bounded) sample: the
+    words of a text that was copied would else look common to many toxic documents."""
+    fps = np.array([fingerprint(t) for t in texts], np.uint64)
+    kept: list[int] = []
+    for i in range(len(fps)):
+        if not len(kept) or int(np.bitwise_count(fps[kept] ^ fps[i]).min()) > within:
+            kept.append(i)
+    return kept
+
+
 def learn(texts: list[bytes], y: list[int], share: float) -> Field:
+    apart = unlike(texts)
+    texts, y = [texts[i] for i in apart], [y[i] for i in apart]
+    if len(set(y)) < 2:
+        return Field(constant=0.5 if not y else float(y[0]))
     words = [tokens(t) for t in texts]
     part = np.arange(len(y)) % 2
 
