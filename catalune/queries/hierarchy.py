@@ -15,33 +15,46 @@ _WALK = f"""WITH RECURSIVE {_NODES}, s AS (SELECT *, lpad(cast(row_number() OVER
 _CLOSURE = f"""WITH RECURSIVE {_NODES}, c AS (SELECT id AS ancestor, id, 0 AS depth FROM nodes UNION ALL SELECT nodes.parent, c.id, depth + 1 FROM c JOIN nodes ON nodes.id = c.ancestor WHERE nodes.parent IS NOT NULL AND nodes.parent <> c.id AND depth < 8)"""
 
 
-def _nodes(t):
+_FIRST = " WHERE c_custkey <= 300"
+
+
+def _trees(name, ops, sql):
+    """Registers f(t, nodes) over the whole customer table as ``name_whole``, and over the first 300 as its older SQL has it."""
+
+    def put(f):
+        query(name, ops, sql)(lambda t: f(t, _nodes(t, t.customer.where("c_custkey <= 300"))))
+        query(f"{name}_whole", ops, sql.replace(_FIRST, ""))(lambda t: f(t, _nodes(t, t.customer)))
+        return f
+
+    return put
+
+
+def _nodes(t, customer):
     one = lambda d, p, k, up, pk, name: d.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), (F.concat(F.lit(up), F.col(pk).cast("string")) if up else F.lit(None).cast("string")).alias("parent"), F.col(name).alias("name"))
     loop = t.spark.createDataFrame([("x1", "x2", "loop"), ("x2", "x1", "loop")], "id string, parent string, name string")
-    return one(t.region, "r", "r_regionkey", None, None, "r_name").unionByName(one(t.nation, "n", "n_nationkey", "r", "n_regionkey", "n_name")).unionByName(one(t.customer.where("c_custkey <= 300"), "c", "c_custkey", "n", "c_nationkey", "c_name")).unionByName(loop)
+    return one(t.region, "r", "r_regionkey", None, None, "r_name").unionByName(one(t.nation, "n", "n_nationkey", "r", "n_regionkey", "n_name")).unionByName(one(customer, "c", "c_custkey", "n", "c_nationkey", "c_name")).unionByName(loop)
 
 
-@query("tree_walk", "H1", f"{_WALK} SELECT id, depth, path FROM w")
-def tree_walk(t):
-    return G.tree_walk(_nodes(t), "id", "parent", F.col("name"))
+@_trees("tree_walk", "H1", f"{_WALK} SELECT id, depth, path FROM w")
+def tree_walk(t, nodes):
+    return G.tree_walk(nodes, "id", "parent", F.col("name"))
 
 
-@query("ancestor_paths", "H2 P26", f"""WITH RECURSIVE {_NODES}, w AS (SELECT id, name AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, path || ' / ' || n.name FROM w JOIN nodes n ON n.parent = w.id) SELECT id, path FROM w""")
-def ancestor_paths(t):
-    n = _nodes(t)
-    reach = G.tree_walk(n, "id", "parent", F.col("name")).select("id")
-    c = G.closure(n, "id", "parent").join(reach, "id", "left_semi").join(n.select(F.col("id").alias("ancestor"), "name"), "ancestor")
+@_trees("ancestor_paths", "H2 P26", f"""WITH RECURSIVE {_NODES}, w AS (SELECT id, name AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, path || ' / ' || n.name FROM w JOIN nodes n ON n.parent = w.id) SELECT id, path FROM w""")
+def ancestor_paths(t, nodes):
+    reach = G.tree_walk(nodes, "id", "parent", F.col("name")).select("id")
+    c = G.closure(nodes, "id", "parent").join(reach, "id", "left_semi").join(nodes.select(F.col("id").alias("ancestor"), "name"), "ancestor")
     return c.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name"))), lambda x: x["name"]), " / ").alias("path"))
 
 
-@query("descendants", "H3 H7", f"{_CLOSURE} SELECT id FROM c WHERE ancestor = 'r2'")
-def descendants(t):
-    return G.closure(_nodes(t), "id", "parent").where("ancestor = 'r2'").select("id")
+@_trees("descendants", "H3 H7", f"{_CLOSURE} SELECT id FROM c WHERE ancestor = 'r2'")
+def descendants(t, nodes):
+    return G.closure(nodes, "id", "parent").where("ancestor = 'r2'").select("id")
 
 
-@query("descendant_counts", "H3 M26", f"{_CLOSURE} SELECT ancestor, count(DISTINCT id) AS n FROM c GROUP BY ancestor")
-def descendant_counts(t):
-    return G.closure(_nodes(t), "id", "parent").groupBy("ancestor").agg(F.count_distinct("id").alias("n"))
+@_trees("descendant_counts", "H3 M26", f"{_CLOSURE} SELECT ancestor, count(DISTINCT id) AS n FROM c GROUP BY ancestor")
+def descendant_counts(t, nodes):
+    return G.closure(nodes, "id", "parent").groupBy("ancestor").agg(F.count_distinct("id").alias("n"))
 
 
 @query("linked_order", "H4 S11", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END * 0, turn) - 1 AS pos FROM conversations")
@@ -50,10 +63,10 @@ def linked_order(t):
     return G.linked_order(c, "conv_id", "turn", "next")
 
 
-@query("cycle_refusal", "H5", f"{_CLOSURE}, m AS (SELECT 'r0' AS id, 'n0' AS into_id UNION ALL SELECT 'n3', 'r0' UNION ALL SELECT 'n0', 'n0' UNION ALL SELECT 'r1', 'r0') SELECT m.id, m.into_id, EXISTS (SELECT 1 FROM c WHERE c.ancestor = m.id AND c.id = m.into_id) AS refused FROM m")
-def cycle_refusal(t):
+@_trees("cycle_refusal", "H5", f"{_CLOSURE}, m AS (SELECT 'r0' AS id, 'n0' AS into_id UNION ALL SELECT 'n3', 'r0' UNION ALL SELECT 'n0', 'n0' UNION ALL SELECT 'r1', 'r0') SELECT m.id, m.into_id, EXISTS (SELECT 1 FROM c WHERE c.ancestor = m.id AND c.id = m.into_id) AS refused FROM m")
+def cycle_refusal(t, nodes):
     m = t.spark.createDataFrame([("r0", "n0"), ("n3", "r0"), ("n0", "n0"), ("r1", "r0")], "id string, into_id string")
-    under = G.closure(_nodes(t), "id", "parent").select(F.col("ancestor").alias("id"), F.col("id").alias("into_id"), F.lit(True).alias("under"))
+    under = G.closure(nodes, "id", "parent").select(F.col("ancestor").alias("id"), F.col("id").alias("into_id"), F.lit(True).alias("under"))
     return m.join(under, ["id", "into_id"], "left").select("id", "into_id", F.coalesce("under", F.lit(False)).alias("refused"))
 
 
@@ -70,9 +83,9 @@ def folder_items(t):
     return d.groupBy(F.col("n_regionkey").alias("folder"), "l_partkey").agg(F.min("o_orderkey").alias("first"), F.count_distinct("o_orderkey").alias("lists"))
 
 
-@query("mirror_selection", "M24 M23", f"{_CLOSURE} SELECT id FROM c WHERE ancestor IN ('n4', 'n9') UNION SELECT ancestor FROM c WHERE id IN ('n4', 'n9')")
-def mirror_selection(t):
-    c = G.closure(_nodes(t), "id", "parent")
+@_trees("mirror_selection", "M24 M23", f"{_CLOSURE} SELECT id FROM c WHERE ancestor IN ('n4', 'n9') UNION SELECT ancestor FROM c WHERE id IN ('n4', 'n9')")
+def mirror_selection(t, nodes):
+    c = G.closure(nodes, "id", "parent")
     flagged = ["n4", "n9"]
     return c.where(F.col("ancestor").isin(flagged)).select("id").unionByName(c.where(F.col("id").isin(flagged)).select(F.col("ancestor").alias("id"))).distinct()
 

@@ -255,3 +255,23 @@ def test_relink_scores(spark):
     assert not any(o == 3 for o, _ in got)
     top = matching.best_matches(spark.createDataFrame([(1, 10, 90), (1, 11, 88), (1, 12, 60), (1, 13, 55), (2, 10, 49)], "o int, c int, x int"), "o", "c", "x").collect()
     assert sorted((r["c"], r["x"], r["rank"]) for r in top) == [(10, 80, 1), (11, 88, 2), (12, 60, 3)]
+
+
+def test_trees_hold_all_customers(spark):
+    from catalune.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    at = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").collect()
+    up = {f"r{r['r_regionkey']}": (None, r["r_name"]) for r in at("region")} | {f"n{r['n_nationkey']}": (f"r{r['n_regionkey']}", r["n_name"]) for r in at("nation")}
+    up |= {f"c{r['c_custkey']}": (f"n{r['c_nationkey']}", r["c_name"]) for r in at("customer")}
+    assert len(up) > 1000
+    chain = lambda x: [x, *(chain(up[x][0]) if up[x][0] else [])]
+    loop = {("x1", "x1"), ("x1", "x2"), ("x2", "x1"), ("x2", "x2")}
+    pairs = {(a, x) for x in up for a in chain(x)} | loop
+    got = lambda name: [tuple(r) for r in QUERIES[f"{name}_whole"](spark, sf).collect()]
+    assert sorted((i, d) for i, d, _ in got("tree_walk")) == sorted((x, len(chain(x)) - 1) for x in up)
+    assert dict(got("ancestor_paths")) == {x: " / ".join(up[a][1] for a in reversed(chain(x))) for x in up}
+    assert sorted(got("descendants")) == sorted((x,) for a, x in pairs if a == "r2")
+    assert dict(got("descendant_counts")) == {a: sum(b == a for b, _ in pairs) for a in {a for a, _ in pairs}}
+    assert {(i, m): r for i, m, r in got("cycle_refusal")} == {(i, m): (i, m) in pairs for i, m in (("r0", "n0"), ("n3", "r0"), ("n0", "n0"), ("r1", "r0"))}
+    assert sorted(got("mirror_selection")) == sorted({(x,) for a, x in pairs if a in ("n4", "n9")} | {(a,) for a, x in pairs if x in ("n4", "n9")})
