@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalune.functions import dates, music
 from catalune.operators import further as U
-from catalune.queries import query
+from catalune.queries import query, whole
 
 
 @query(
@@ -53,7 +53,16 @@ def order_clashes(t):
 @query("download_plan", "S21 M18", """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_orderkey % 10 = 0)
        SELECT l_orderkey, lpad(cast(n AS VARCHAR), cast(greatest(2, length(cast(c AS VARCHAR))) AS INTEGER), '0') || ' ' || p_name || '.bin' AS file FROM r JOIN part ON p_partkey = l_partkey""")
 def download_plan(t):
-    d = t.lineitem.where("l_orderkey % 10 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return _download_plan(t, t.lineitem.where("l_orderkey % 10 = 0"))
+
+
+@whole("download_plan", "S21 M18", (" WHERE l_orderkey % 10 = 0",))
+def download_plan_whole(t):
+    return _download_plan(t, t.lineitem)
+
+
+def _download_plan(t, lineitem):
+    d = lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return U.download_plan(d, "l_orderkey", F.col("p_name"), F.lit(".bin"), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]).select("l_orderkey", "file")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalune.operators import graphs as G
-from catalune.queries import query
+from catalune.queries import query, whole
 
 _NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
        UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'x1', 'x2', 'loop' UNION ALL SELECT 'x2', 'x1', 'loop')"""
@@ -78,7 +78,16 @@ def sibling_positions(t):
 @query("folder_items", "U6 J5 H9", """WITH o AS (SELECT n_regionkey AS folder, o_orderkey, l_partkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 450000)
        SELECT folder, l_partkey, min(o_orderkey) AS first, count(DISTINCT o_orderkey) AS lists FROM o GROUP BY 1, 2""")
 def folder_items(t):
-    o = t.orders.where("o_totalprice > 450000").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
+    return _folder_items(t, t.orders.where("o_totalprice > 450000"))
+
+
+@whole("folder_items", "U6 J5 H9", (" WHERE o_totalprice > 450000",))
+def folder_items_whole(t):
+    return _folder_items(t, t.orders)
+
+
+def _folder_items(t, orders):
+    o = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
     d = o.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return d.groupBy(F.col("n_regionkey").alias("folder"), "l_partkey").agg(F.min("o_orderkey").alias("first"), F.count_distinct("o_orderkey").alias("lists"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalune.functions import text as X
 from catalune.operators import duplicates as D
 from catalune.operators import matching as J
-from catalune.queries import query
+from catalune.queries import query, whole
 
 ALL = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _ALL = ", ".join(ALL)
@@ -157,6 +157,12 @@ def components(t):
     return D.groups(e)
 
 
+@whole("components", "J16")
+def components_whole(t):
+    e = t.orders.where("o_custkey > 7").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - 7).alias("b"))
+    return D.groups(e)
+
+
 @query("name_groups", "J17", """WITH o AS (SELECT p_partkey, p_name, p_type, p_retailprice AS d, p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_name, p_type ORDER BY p_retailprice, p_partkey) AS gap FROM part), g AS (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY p_name, p_type ORDER BY d, p_partkey) AS g FROM o),
        s AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_type, g) AS "group", count(*) OVER (PARTITION BY p_name, p_type, g) AS n FROM g) SELECT id, "group" FROM s WHERE n > 1""")
 def name_groups(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalune.operators import facets, reports
-from catalune.queries import query
+from catalune.queries import query, whole
 
 
 @query("value_counts_ci", "A1", """WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE ' ' || p_name END AS v FROM part WHERE p_partkey % 11 <> 0)
@@ -39,6 +39,11 @@ def histogram_steps(t):
     return reports.histogram(t.orders.where("o_orderkey % 50 = 0"), F.col("o_totalprice"), 5000)
 
 
+@whole("histogram_steps", "A5", (" AND o_orderkey % 50 = 0",))
+def histogram_steps_whole(t):
+    return reports.histogram(t.orders, F.col("o_totalprice"), 5000)
+
+
 @query("monthly_added", "A6 P12", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def monthly_added(t):
     return t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -120,7 +125,15 @@ def rule_values(t):
 
 @query("seed_profile", "A16", """SELECT p_type, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS words, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 4) AS price FROM part WHERE p_partkey <= 300 GROUP BY p_type""")
 def seed_profile(t):
-    d = t.part.where("p_partkey <= 300")
+    return _seed_profile(t.part.where("p_partkey <= 300"))
+
+
+@whole("seed_profile", "A16", (" WHERE p_partkey <= 300",))
+def seed_profile_whole(t):
+    return _seed_profile(t.part)
+
+
+def _seed_profile(d):
     words = d.select("p_type", F.explode(F.split("p_name", " ")).alias("w")).groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("words"))
     return d.groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("size"), F.round(F.avg("p_retailprice"), 4).alias("price")).join(words, "p_type").select("p_type", "words", "size", "price")
 

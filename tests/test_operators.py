@@ -275,3 +275,23 @@ def test_trees_hold_all_customers(spark):
     assert dict(got("descendant_counts")) == {a: sum(b == a for b, _ in pairs) for a in {a for a, _ in pairs}}
     assert {(i, m): r for i, m, r in got("cycle_refusal")} == {(i, m): (i, m) in pairs for i, m in (("r0", "n0"), ("n3", "r0"), ("n0", "n0"), ("r1", "r0"))}
     assert sorted(got("mirror_selection")) == sorted({(x,) for a, x in pairs if a in ("n4", "n9")} | {(a,) for a, x in pairs if x in ("n4", "n9")})
+
+
+def test_whole_queries_hold_all_rows(spark):
+    from catalune.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    at = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").collect()
+    got = lambda name: QUERIES[f"{name}_whole"](spark, sf)
+    orders, lines, parts = at("orders"), at("lineitem"), at("part")
+    assert got("histogram_steps").agg(F.sum("n")).first()[0] == sum(r["o_totalprice"] > 0 for r in orders)
+    assert got("download_plan").count() == len(lines)
+    songs = {r["p_partkey"] for r in parts}
+    own = {(r["l_orderkey"], r["l_partkey"]) for r in lines if r["l_partkey"] in songs}
+    assert {(r["record"], r["song"]) for r in got("record_pool").collect()} == own | {(None, p) for p in songs - {s for _, s in own}}
+    label = {}
+    for r in orders:
+        if r["o_custkey"] > 7:
+            a, b = (label.setdefault(x, x) for x in (r["o_custkey"], r["o_custkey"] - 7))
+            label = {x: min(a, b) if y in (a, b) else y for x, y in label.items()}
+    assert dict(map(tuple, got("components").collect())) == label
