@@ -295,3 +295,23 @@ def test_whole_queries_hold_all_rows(spark):
             a, b = (label.setdefault(x, x) for x in (r["o_custkey"], r["o_custkey"] - 7))
             label = {x: min(a, b) if y in (a, b) else y for x, y in label.items()}
     assert dict(map(tuple, got("components").collect())) == label
+
+
+@pytest.mark.parametrize("how", [{}, {"randomness": 0.7, "seed": 42}, {"include": [5999, 3], "strict": True}])
+def test_playlists_score_all_candidates(spark, how):
+    from catalune.operators.making import playlists
+
+    # 6,000 candidates: the best of the first slots have no rating and come last by rating
+    rows = [(i, "g", 20.0 + i % 7 if i % 50 else 100.0, 8 if i < 5900 else 3, True, None if i >= 5900 else 5 - i % 2, ["blue"] if i >= 5900 else ["x"], i) for i in range(6000)]
+    d = spark.createDataFrame(rows, "id long, g string, bpm double, n int, minor boolean, rating int, tags array<string>, o long")
+    how = {"count": 12, "start": 20.0, "end": 40.0, "tolerance": 0.1, "want": ["blue"]} | how
+    got = [(r["slot"], r["id"]) for r in playlists(d, "g", "id", "bpm", "n", "minor", "rating", "tags", "o", **how).orderBy("slot").collect()]
+    pool = [{"id": i, "bpm": bpm, "key": (n, minor), "rating": rating, "tags": tags} for i, _, bpm, n, minor, rating, tags, _ in rows]
+    assert got == [(r["slot"], r["id"]) for r in fill_slots(pool, **how)] and (how.get("randomness") or any(i >= 5900 for _, i in got))
+
+
+def test_playlists_without_want(spark):
+    from catalune.operators.making import playlists
+
+    d = spark.createDataFrame([(i, "g", 20.0, 8, True, 1, ["x"], i) for i in range(40)], "id long, g string, bpm double, n int, minor boolean, rating int, tags array<string>, o long")
+    assert [r["id"] for r in playlists(d, "g", "id", "bpm", "n", "minor", "rating", "tags", "o", count=3, start=None, end=None, tolerance=0.1).orderBy("slot").collect()] == [0, 1, 2]
