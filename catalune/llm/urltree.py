@@ -1,8 +1,8 @@
 """URL filters: a path-template tree for each host, from DataFrame operations alone.
 
-Level by level, the values of a path segment under one template are generalised: where there are very many, the rare
-ones become ``*``; those whose labelled share doesn't differ significantly from that of all values there become
-``~`` and are one branch. Each node's share of bad labels is smoothed by its parent's; what lies under a template
+Level by level, to the last segment of every path, the values of a segment under one template are generalised: where
+there are very many, rare ones become ``*`` unless their own labels set them apart; those whose labelled share doesn't
+differ significantly from that of all values there become ``~`` and are one branch. Each node's share of bad labels is smoothed by its parent's; what lies under a template
 whose smoothed share reaches ``reject`` is blocked. Explicit rules go first, the longest that fits.
 """
 
@@ -15,7 +15,6 @@ from catalune.llm.common import Scratch
 
 #: host and path of a rule, and its verdict; fixed by the contract
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DEPTH = 3  #: segments that the tree tells apart; what lies deeper shares their template
 MANY = 16  #: values under one template above which rare ones are variable
 RARE = 0.05  #: share of a template's urls below which a value is rare
 Z = 1.96  #: standard errors below which a branch is like its siblings
@@ -50,7 +49,7 @@ def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str, salts: in
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, template, purity (the smoothed share of bad labels).
 
     Labelled are urls that a rule judges, and pages whose id is in ``labels`` (``bad`` tells which are bad; null
@@ -69,34 +68,47 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
         rows = rows.withColumn("bad", F.lit(None).cast("double"))
     known = F.coalesce(F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("double")), F.col("bad"))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    named = [F.coalesce(F.get(segs, F.lit(i)), F.lit("")).alias(f"s{i}") for i in range(depth)]
-    rows = scratch.keep(rows.select("id", "host", "path", "rule", "said", known.alias("known"), *named), "rows")
-    seg = [f"s{i}" for i in range(depth)]
-    urls = rows.groupBy("host", *seg).agg(F.count("*").alias("n"), F.count("known").alias("l"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
+    rows = scratch.keep(rows.select("id", "host", "path", "rule", "said", known.alias("known"), segs.alias("segs")), "rows")
+    urls = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("known").alias("l"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
     per_host = urls.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
     share = (F.col("hb") + WEIGHT * PRIOR) / (F.col("hl") + WEIGHT)
     urls = scratch.keep(urls.join(per_host.select("host", share.alias("purity")), "host").withColumn("tmpl", F.lit("")), "urls0")
-    for i in range(depth):
-        child = urls.groupBy("host", "tmpl", f"s{i}").agg(*(F.sum(c).alias(c) for c in "nlb"), F.max("purity").alias("purity"))
+    done, i = [], 0
+    while not urls.isEmpty():
+        urls = urls.withColumn("s", F.coalesce(F.get("segs", F.lit(i)), F.lit("")))
+        child = urls.groupBy("host", "tmpl", "s").agg(*(F.sum(c).alias(c) for c in "nlb"), F.max("purity").alias("purity"), F.count("*").alias("own"))
         parent = child.groupBy("host", "tmpl").agg(F.count("*").alias("kinds"), *(F.sum(c).alias(f"p{c}") for c in "nlb"))
         p = F.col("pb") / F.col("pl")
         err = F.sqrt(p * (1 - p) / F.col("l") * (1 - F.col("l") / F.col("pl")))
-        alike = (F.col("l") >= LABELS) & (F.col("l") < F.col("pl")) & (F.abs(F.col("b") / F.col("l") - p) <= Z * err)
+        few = F.col("l") < LABELS
+        alike = ~few & (F.col("l") < F.col("pl")) & (F.abs(F.col("b") / F.col("l") - p) <= Z * err)
         token = (
-            F.when(F.col(f"s{i}") == "", "")
-            .when((F.col("kinds") > MANY) & (F.col("n") < RARE * F.col("pn")), "*")
+            F.when(F.col("s") == "", "")
+            .when((F.col("kinds") > MANY) & (F.col("n") < RARE * F.col("pn")) & (few | alike), "*")
             .when(alike, "~")
-            .otherwise(F.col(f"s{i}"))
+            .otherwise(F.col("s"))
         )
-        child = scratch.keep(_salted(child, parent, ["host", "tmpl"], f"s{i}").withColumn("token", token).select("host", "tmpl", f"s{i}", "token", "l", "b", "purity"), f"values{i}")
-        node = child.groupBy("host", "tmpl", "token").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+        child = scratch.keep(_salted(child, parent, ["host", "tmpl"], "s").withColumn("token", token).select("host", "tmpl", "s", "token", "l", "b", "purity", "own"), f"values{i}")
+        node = child.groupBy("host", "tmpl", "token").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"), F.sum("own").alias("paths"))
         # a node that is all of its parent's labels, or an end of path, is smoothed like any other
         pure = (F.col("nb") + WEIGHT * F.col("purity")) / (F.col("nl") + WEIGHT)
-        step = _salted(child.drop("l", "b"), node, ["host", "tmpl", "token"], f"s{i}").select("host", "tmpl", f"s{i}", "token", pure.alias("pure"))
-        urls = urls.join(step, ["host", "tmpl", f"s{i}"])
-        urls = urls.withColumns({"tmpl": F.when(F.col("token") == "", F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), "token")), "purity": F.col("pure")}).drop("token", "pure")
-        urls = scratch.keep(urls, f"urls{i + 1}")
+        step = _salted(child.drop("l", "b", "own"), node, ["host", "tmpl", "token"], "s").select("host", "tmpl", "s", "token", pure.alias("pure"), "paths")
+        urls = urls.join(step, ["host", "tmpl", "s"])
+        urls = urls.withColumns({"tmpl": F.when(F.col("token") == "", F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), "token")), "purity": F.col("pure")})
+        # a path alone under its node has no branches left: its segments stay as they are and its share is smoothed once a level
+        rest = F.when(F.col("token") == "", 0).otherwise(F.size("segs") - i)
+        own = F.col("b") / F.col("l")
+        alone = F.when(F.col("l") > 0, own + (F.col("purity") - own) * F.pow(WEIGHT / (F.col("l") + WEIGHT), rest)).otherwise(F.col("purity"))
+        tail = F.when(rest > 1, F.concat(F.lit("/"), F.array_join(F.slice("segs", i + 2, F.greatest(rest, F.lit(1))), "/"))).otherwise("")
+        ended = (F.col("token") == "") | (F.col("paths") == 1)
+        cols = ["host", "segs", "n", "l", "b", "purity", "tmpl"]
+        urls = scratch.keep(urls.select(*cols[:5], F.when(ended, alone).otherwise(F.col("purity")).alias("purity"), F.when(ended, F.concat("tmpl", tail)).otherwise(F.col("tmpl")).alias("tmpl"), ended.alias("ended")), f"urls{i + 1}")
+        done.append(urls.where("ended").select("host", "segs", "tmpl", "purity"))
+        urls, i = urls.where("not ended").select(*cols), i + 1
+    ends = done[0] if done else urls.select("host", "segs", "tmpl", "purity")
+    for d in done[1:]:
+        ends = ends.unionByName(d)
     # a url that very many pages share is one row in urls
-    out = _salted(rows, urls.select("host", *seg, "tmpl", "purity"), ["host", *seg], "id")
+    out = _salted(rows, ends, ["host", "segs"], "id")
     final = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", final.alias("verdict"), F.concat("host", "tmpl").alias("template"), F.round("purity", 6).alias("purity"))

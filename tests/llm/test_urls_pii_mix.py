@@ -119,3 +119,21 @@ def test_blocks_and_levels(spark):
     got["source"] = got["id"].map(dict((i, s) for i, _, s in rows))
     for _, g in got.groupby("source"):
         assert abs((g["size"] * g["copies"]).sum() - g["target"].iloc[0]) < 0.02 * g["target"].iloc[0] + 400
+
+
+def test_rare_sections_with_labels_stay_apart(spark):
+    # 24 sections of a host of 4.2 % each at most; one is all bad
+    rows = [(i, f"http://h.test/s{i % 24}/{i}") for i in range(2400)]
+    d = spark.createDataFrame(rows, "page_id int, url string")
+    bad = spark.createDataFrame([(i, int(i % 24 == 5)) for i in range(2400)], "doc_id int, b int")
+    got = urltree.judge(d, bad, bad=F.col("b") == 1).collect()
+    assert all((r["verdict"] == "block") == r["path"].startswith("/s5/") for r in got)
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(i, f"http://h.test/a/b/c/d/{'spam' if i % 3 == 0 else 'news'}/{i}/{'x/' * (i % 2)}") for i in range(600)] + [(700, "http://h.test/a"), (701, "http://h.test/"), (702, "http://h.test/" + "z/" * 300)]
+    d = spark.createDataFrame(rows, "page_id int, url string")
+    bad = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id int, b int")
+    got = {r["page_id"]: r for r in urltree.judge(d, bad, bad=F.col("b") == 1).collect()}
+    assert len(got) == 603 and all((got[i]["verdict"] == "block") == (i % 3 == 0) for i in range(600))
+    assert got[702]["template"] == "h.test" + "/z" * 300 or got[702]["template"].startswith("h.test/*")
