@@ -8,20 +8,18 @@ depending on the dictionary. Narrow margins are rejected.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalune.llm.common import as_bytes, fold, per_batch
 
 DICT_BYTES = 32 << 10  #: of a language's dictionary
 TEXTS = 400  #: training texts of a language that are looked at, at most
-LONGEST = 200_000  #: bytes of a training text at most; longer ones are not learned from
-LANGS = 64  #: languages with most training rows that are learned
 PIECE = 2000  #: bytes that are compressed together
 LEVEL = 12
 MARGIN = 0.01  #: smaller shares of the second smallest size are rejected
@@ -66,27 +64,29 @@ class Model:
         return order[0], score, (second - best) < self.margin * second
 
 
-def train(docs: DataFrame, rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = DICT_BYTES, texts: int = TEXTS, langs: int = LANGS, **how) -> Model:
-    """Dictionaries from the whole texts of at most ``texts`` rows a language, the first by a hash of id and text.
+def train(docs: DataFrame, rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = DICT_BYTES, texts: int = TEXTS, **how) -> Model:
+    """A dictionary of every language, from the whole texts of at most ``texts`` of its rows, the first by a hash of id
+    and text.
 
-    Both bounds are fixed, so what comes to the driver doesn't grow with the input. Words in more of the texts come
-    later, ties in order of bytes.
+    Words are counted on executors; a dictionary a language comes to the driver. Words in more of the texts come later,
+    ties in order of bytes.
     """
     pool = docs.where(F.col(lang_col).isNotNull() & rows).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    pool = pool.where(F.octet_length("text").between(1, LONGEST))
-    named = [r["l"] for r in pool.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()]
-    dicts = {}
-    for lang in named:
-        found: Counter[bytes] = Counter()
-        for r in pool.where(F.col("l") == lang).orderBy("h", "text").limit(texts).select("text").toLocalIterator():
-            found.update(set(folded(r["text"].encode()).split()))
-        raw, n = [], 0
-        for w in sorted(found, key=lambda w: (-found[w], w)):
-            n += len(w) + 1
-            if n > dict_bytes:
-                break
-            raw.append(w)
-        dicts[lang] = b" ".join(reversed(raw)) + b" "
+    pool = pool.where(F.octet_length("text") > 0).withColumn("i", F.row_number().over(W.partitionBy("l").orderBy("h", "text"))).where(F.col("i") <= texts)
+
+    def words(batches):
+        for b in batches:
+            for lang, text in zip(b.column("l").to_pylist(), as_bytes(b, "text"), strict=True):
+                found = sorted(set(folded(text).split()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["l", "w"])
+
+    # a word has a byte and the space after it at least
+    order = W.partitionBy("l").orderBy(F.desc("n"), "w")
+    top = pool.select("l", "text").mapInArrow(words, "l string, w binary").groupBy("l", "w").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(order)).where(F.col("i") <= dict_bytes // 2)
+    found: dict[str, list] = {}
+    for r in top.withColumn("upto", F.sum(F.octet_length("w") + 1).over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= dict_bytes).select("l", "i", "w").collect():
+        found.setdefault(r["l"], []).append((r["i"], bytes(r["w"])))
+    dicts = {lang: b" ".join(w for _, w in sorted(f, reverse=True)) + b" " for lang, f in found.items()}
     return Model({k: v for k, v in dicts.items() if v.strip()}, **how)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalune.llm import crf, isoforest, langzip, nbsvm
 
@@ -124,3 +125,22 @@ def test_rules(spark, docs, labels, odd):
     assert len(rows) == 13 and all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in rows)
     assert isoforest.judge(odd.limit(0), forest).count() == 0
     assert isoforest.judge(odd, isoforest.train(odd.limit(0), labels)).count() == 13
+
+
+def test_every_language_is_learned(spark):
+    rnd = random.Random(7)
+    own = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(71 * 60)]
+    words = lambda k, n: " ".join(rnd.choices(own[60 * k : 60 * k + 60], k=n))
+    rows = [(100 * k + i, words(k, 60), f"l{k:02d}") for k in range(70) for i in range(3 if k < 69 else 2)] + [(90_000 + i, words(70, 30_000), "zz") for i in range(2)]
+    assert len(rows[-1][1]) > 200_000
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langzip.train(d, F.lit(True))
+    assert len(m.dicts) == 71 and all(len(x) <= langzip.DICT_BYTES for x in m.dicts.values())
+    assert [m.predict(t.encode())[0] for _, t, _ in rows[::9]] == [x for *_, x in rows[::9]]
+    assert m.predict(rows[-1][1].encode())[0] == "zz"
+
+
+def test_dictionary_words_by_texts(spark):
+    d = spark.createDataFrame([(1, "B a", "x"), (2, "a é\na", "x"), (3, "", "x"), (4, None, "x"), (5, "c", None), (6, "  ", "y")], "doc_id long, text string, lang string")
+    assert langzip.train(d, F.lit(True)).dicts == {"x": "é b a ".encode()}
+    assert langzip.train(d, F.lit(True), dict_bytes=4).dicts == {"x": b"b a "}
