@@ -92,7 +92,7 @@ def touched_paths(t):
     return t.events.where("event_id > 1000 and event_id <= 1200").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 16).cast("string")).alias("path")).distinct()
 
 
-@query("retention", "C8 S19", "SELECT event_id, ts < TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AS purge FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-15'")
+@query("retention", "C8", "SELECT event_id, ts < TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AS purge FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-15'")
 def retention(t):
     now = F.lit("2024-01-15").cast("timestamp_ntz")
     return t.events.where((F.col("event_type") == "error") & (F.col("ts") < now)).select("event_id", (F.col("ts") < now - F.make_interval(days=F.lit(7))).alias("purge"))

@@ -39,7 +39,7 @@ def keep_range(t):
     return t.events.select("event_id", first.alias("first"), last.alias("last"))
 
 
-@query("spectrum_peaks", "D1 D2 D3 D8")
+@query("spectrum_peaks", "D1 D2")
 def spectrum_peaks(t):
     return S.analysed(S.tones(t.nation.select(F.col("n_nationkey").alias("id"), (110.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), (90 + F.col("n_nationkey") * 3).cast("double").alias("bpm")))).select("id", F.round("peak_hz", 3).alias("peak_hz"), F.round("rms", 6).alias("rms"))
 

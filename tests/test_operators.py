@@ -315,3 +315,9 @@ def test_playlists_without_want(spark):
 
     d = spark.createDataFrame([(i, "g", 20.0, 8, True, 1, ["x"], i) for i in range(40)], "id long, g string, bpm double, n int, minor boolean, rating int, tags array<string>, o long")
     assert [r["id"] for r in playlists(d, "g", "id", "bpm", "n", "minor", "rating", "tags", "o", count=3, start=None, end=None, tolerance=0.1).orderBy("slot").collect()] == [0, 1, 2]
+
+
+def test_no_query_stands_for_what_is_left_out():
+    from catalune.queries import OPERATORS
+
+    assert OPERATORS["spectrum_peaks"] == "D1 D2" and not {"D8", "S19", "C17", "S20", "M35"} & {x for ops in OPERATORS.values() for x in ops.split()}
