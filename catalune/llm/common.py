@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -22,12 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (unset: one machine) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="catalune-"))
         base = f"file://{_LOCAL[0]}"
     return base.rstrip("/")
 
 
+def open_at(uri: str):
+    """pyarrow's file system and path of a URI; a path without scheme is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 class Scratch:
     """A new folder in the shared one. Tables written here cut lineage and survive lost executors."""
 
@@ -61,9 +73,12 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, train, per_clas
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Whole texts of the sampled ids: (id, y, text). The sample has a fixed bound, so it is broadcast."""
+    """Whole texts of the sampled ids: (id, y, text). The sample has a fixed bound, so it is broadcast.
+
+    Of an id with several texts the least is taken, so reruns agree; null texts stand aside for others.
+    """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    return d.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def packed(docs: DataFrame, id_col: str, digest: Column) -> DataFrame:
@@ -76,17 +91,42 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and, unless one row has more, ``size`` bytes of text: what is made
+    of a part stays small."""
+    n = batch.num_rows
+    bytes_ = np.zeros(n) if text not in batch.schema.names else pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(bytes_), 0
+    while at < n:
+        before = upto[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """For mapInArrow: f on slices of at most 2,000 rows, so that what a batch makes stays small."""
+    """For mapInArrow: f on slices of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                yield f(b.slice(i, 2000))
+            for part in slices(b):
+                yield f(part)
 
     return run
 
 
+def numbered(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """df with ``i``, the place of each row among those of equal keys, from 0. The rows of a key may be very many: each
+    partition of df counts its own, and the counts before it are added. df is written to the shared folder, so that
+    both readings see the same partitions."""
+    df = scratch.keep(df.withColumn("pid", F.spark_partition_id()), name)
+    own = df.withColumn("i", F.row_number().over(W.partitionBy(*keys, "pid").orderBy(F.lit(0))) - 1)
+    upto = W.partitionBy(*keys).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
+    before = df.groupBy(*keys, "pid").agg(F.count("*").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(upto), F.lit(0)))
+    same = [own[k].eqNullSafe(before[k]) for k in (*keys, "pid")]
+    return own.join(before, same).select(*(own[c] for c in df.columns if c != "pid"), (own["i"] + before["before"]).alias("i"))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable, for every node that has a link to another one.
 

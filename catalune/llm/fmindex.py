@@ -10,7 +10,9 @@ stepping to sampled suffix positions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -18,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalune.llm.common import as_bytes
+from catalune.llm.common import Scratch, as_bytes, open_at, slices
 
 #: 0-9, a-z and all beyond ASCII stay; A-Z are lower-cased; the rest parts words.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 SAMPLE = 8  #: every so many positions of the text is sampled
 SHARD = 1_000_000  #: symbols of an index, unless one document has more
+SHARD_BYTES = 32 << 20  #: of text that is searched together, unless one document has more
+BLOCK = 4 << 20  #: bytes of benchmark words that are searched for together
+PIECE = 20_000  #: windows of a long item that stay together
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -114,31 +119,56 @@ class FMIndex:
         return out
 
 
+class Owners:
+    """The items of each window, by its row."""
+
+    def __init__(self, at: np.ndarray, items: np.ndarray, names: list):
+        self.at, self.items, self.names = at, items, names
+
+    def __getitem__(self, row: int) -> list:
+        return [self.names[k] for k in self.items[self.at[row] : self.at[row + 1]].tolist()]
+
+
 class Windows:
-    """The benchmark's windows: of ``size`` words each, or a whole shorter item. Picklable; one per block of items."""
+    """The windows of benchmark items: of ``size`` words each, or a whole shorter item. Arrays of word numbers, one row
+    a window, so a block of items takes about a hundred bytes a word; picklable."""
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], size: int = 13):
+        words = ((i, words_of((t or "").encode())) for i, t in items)
+        self._build([(i, len(w) < size, w) for i, w in words if w], size)
+
+    @classmethod
+    def of_pieces(cls, pieces: list[tuple[object, bool, list[bytes]]], size: int) -> Windows:
+        """pieces: item, whether all of it is shorter than ``size``, and words, ``size`` or more of a longer item."""
+        out = cls.__new__(cls)
+        out._build(pieces, size)
+        return out
 
-    def __init__(self, items: list[tuple[object, str | None]], size: int = 13):
+    def _build(self, pieces, size: int) -> None:
         self.groups = []  # long windows, then those of short items, each with a vocabulary of its own
-        found: list[dict[tuple, set]] = [{}, {}]
-        for item, text in items:
-            w = words_of((text or "").encode())
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                found[len(w) < size].setdefault(tuple(w[i : i + size]), set()).add(item)
-        for g in found:
-            if g:
-                vocab = {w: k + 1 for k, w in enumerate(sorted({w for t in g for w in t}))}
-                keys = sorted(g)
-                lengths = np.array([len(k) for k in keys])
-                table = np.zeros((len(keys), int(lengths.max())), np.int32)
-                for i, k in enumerate(keys):
-                    table[i, : len(k)] = [vocab[w] for w in k]
-                self.groups.append((vocab, table, lengths, [sorted(g[k], key=lambda x: (x is None, str(x))) for k in keys]))
+        for short in (False, True):
+            own = [(i, w) for i, s, w in pieces if s == short]
+            if not own:
+                continue
+            vocab: dict[bytes, int] = {}
+            names: dict[object, int] = {}
+            rows, of = [], []
+            width = max(len(w) for _, w in own) if short else size
+            for item, w in own:
+                ids = np.fromiter((vocab.setdefault(x, len(vocab) + 1) for x in w), np.int32, len(w))
+                rows.append(np.pad(ids, (0, width - len(ids)))[None] if short else np.lib.stride_tricks.sliding_window_view(ids, size))
+                of.append(np.full(len(rows[-1]), names.setdefault(item, len(names)), np.int64))
+            table, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(of)]), axis=1)  # window, item
+            self.groups.append((vocab, table, (table > 0).sum(1), Owners(np.searchsorted(pairs[0], np.arange(len(table) + 1)), pairs[1], list(names))))
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set]]:
         """Of each document: number of words, the places of hit words, and the items with occurring windows."""
-        split = [words_of(t) for t in texts]
-        places: list[list[np.ndarray]] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
+        return self.found([words_of(t) for t in texts])
+
+    def found(self, split: list[list[bytes]]) -> list[tuple[int, np.ndarray, set]]:
+        places: list[list[np.ndarray]] = [[] for _ in split]
+        items: list[set] = [set() for _ in split]
         for vocab, table, lengths, of in self.groups:
             get, least = vocab.get, int(lengths.min())
             doc, start, run = [], [], []
@@ -189,17 +219,55 @@ class Windows:
             items[d].update(of[w])
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, per_block: int) -> Iterator[list]:
-    """The items in blocks of about ``per_block``; all of them together only if there are no more than that."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = max(1, -(-items.count() // per_block))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+def blocks_of(benchmark: DataFrame, size: int, id_col: str, text_col: str, block: int, scratch: Scratch) -> list[str]:
+    """Writes the items' windows to files of the shared folder, each of about ``block`` bytes of words; their paths.
 
+    Items are cut into overlapping pieces on executors and dealt out by hash, so neither a long item nor many of them
+    meet in one task, and only the paths come to the driver.
+    """
+    kind, where = benchmark.schema[id_col].dataType.simpleString(), scratch.path
 
-def _found(windows: Windows, text_col: str, batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, set]]:
-    return windows.hits(as_bytes(batch, text_col))
+    def cut(batches):
+        for b in batches:
+            for part in slices(b):
+                rows: list[tuple] = []
+                for item, text in zip(part.column("item").to_pylist(), as_bytes(part, "text"), strict=True):
+                    w = words_of(text)
+                    for i in range(0, max(1, len(w) - size + 1) if w else 0, PIECE):
+                        rows.append((item, len(w) < size, b" ".join(w[i : i + PIECE + size - 1])))
+                item_, short, words = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(item_, part.schema.field("item").type), pa.array(short, pa.bool_()), pa.array(words, pa.binary())], names=["item", "short", "words"])
+
+    def build(key, t):
+        name = f"{where}/windows/{key[0].as_py():06d}"
+        rows = sorted(zip(t.column("item").to_pylist(), t.column("short").to_pylist(), t.column("words").to_pylist(), strict=True), key=lambda r: (r[2], r[0] is not None, str(r[0])))
+        system, path = open_at(name)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        tmp = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(tmp) as out:
+            out.write(pickle.dumps(Windows.of_pieces([(i, s, w.split(b" ")) for i, s, w in rows], size)))
+        system.move(tmp, path)  # a task that is run again writes the same
+        return pa.table({"path": [name]})
+
+    pieces = scratch.keep(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(cut, f"item {kind}, short boolean, words binary"), "pieces")
+    total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = -(-total // block)
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, n))))
+    made = dealt.groupBy("block").applyInArrow(build, "path string").collect() if n else []
+    return sorted(r["path"] for r in made)
+
+
+_LOADED: dict[str, Windows] = {}
+
+
+def load(path: str) -> Windows:
+    """The block of a path; the last one read is kept, so a worker reads a single block once."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        system, at = open_at(path)
+        with system.open_input_stream(at) as f:
+            _LOADED[path] = pickle.loads(f.read())
+    return _LOADED[path]
 
 
 def spans_of(places: np.ndarray) -> list[list[int]]:
@@ -210,25 +278,24 @@ def spans_of(places: np.ndarray) -> list[list[int]]:
     return np.stack([places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])] + 1], axis=1).tolist()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_block: int = 20_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row a document: id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged, in words).
 
     A document without words, or null, has zeros and isn't contaminated. Items without words have no window; a
-    repeated item counts once. Benchmarks of more than ``per_block`` items are searched block by block, and the
-    blocks' spans and items are joined again per row. Repeated document rows stay apart. Other columns are not used.
+    repeated item counts once, one without id hits but isn't counted. Benchmarks of more than ``block`` bytes of words
+    are searched block by block, one in memory at a time, and the blocks' places and items are united per document.
+    Repeated document rows stay apart; an empty table gives an empty one. Other columns are not used.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [Windows(b, size) for b in blocks_of(benchmark, item_col, item_text, per_block)]
+    paths = blocks_of(benchmark, size, item_col, item_text, block, Scratch(docs.sparkSession, "benchmark"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>"
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for part in slices(b, rows=10_000, size=SHARD_BYTES):
                 cols: list[list] = [[] for _ in range(6)]
-                for n, places, items in merged(shared.value, part):
+                for n, places, items in searched(paths, as_bytes(part, "text")):
                     for c, v in zip(cols, digest(n, places, items), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], names=_NAMES)
@@ -236,32 +303,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     return slim.mapInArrow(run, schema)
 
 
-def merged(parts: list[Windows], batch: pa.RecordBatch, text_col: str = "text"):
-    found = [_found(p, text_col, batch) for p in parts]
-    if len(found) == 1:
-        yield from found[0]
-    else:
-        for rows in zip(*found, strict=True):
-            yield rows[0][0], np.unique(np.concatenate([r[1] for r in rows])), set().union(*(r[2] for r in rows))
+def searched(paths: list[str], texts: list[bytes]) -> list[tuple[int, np.ndarray, set]]:
+    """Windows.found of a shard's texts, united over the blocks."""
+    split = [words_of(t) for t in texts]
+    out = [(len(w), np.empty(0, np.int64), set()) for w in split]
+    for path in paths:
+        out = [(n, np.union1d(p, q) if len(p) else q, i | j) for (n, p, i), (_, q, j) in zip(out, load(path).found(split), strict=True)]
+    return out
 
 
 def digest(n: int, places: np.ndarray, items: set) -> tuple:
     hit, names = len(places), sorted(str(x) for x in items if x is not None)
-    return n, hit, len(items), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n, [{"first": a, "end": z} for a, z in spans_of(places)]
+    return n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n, [{"first": a, "end": z} for a, z in spans_of(places)]
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
 _NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_block: int = 20_000) -> DataFrame:
-    """The rows of docs, all columns, whose text isn't contaminated."""
-    shared = docs.sparkSession.sparkContext.broadcast([Windows(b, size) for b in blocks_of(benchmark, item_col, item_text, per_block)])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, whose text isn't contaminated. Null texts and texts without words stay, as do all
+    rows of a repeated one."""
+    paths = blocks_of(benchmark, size, item_col, item_text, block, Scratch(docs.sparkSession, "benchmark"))
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                yield part.filter(pa.array([not (len(p) and 20 * len(p) >= n) for n, p, _ in merged(shared.value, part, text_col)], pa.bool_()))
+            for part in slices(b, text_col, rows=10_000, size=SHARD_BYTES):
+                yield part.filter(pa.array([not (len(p) and 20 * len(p) >= n) for n, p, _ in searched(paths, as_bytes(part, text_col))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

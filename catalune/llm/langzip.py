@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalune.llm.common import as_bytes, fold, per_batch
+from catalune.llm.common import Scratch, as_bytes, fold, per_batch, slices
 
 DICT_BYTES = 32 << 10  #: of a language's dictionary
 TEXTS = 400  #: training texts of a language that are looked at, at most
 PIECE = 2000  #: bytes that are compressed together
 LEVEL = 12
+MAX_LANGS = 2000  #: more are refused: the dictionaries, 32 KB each, are broadcast
 MARGIN = 0.01  #: smaller shares of the second smallest size are rejected
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -64,21 +65,43 @@ class Model:
         return order[0], score, (second - best) < self.margin * second
 
 
+def training_texts(docs: DataFrame, rows, lang_col: str, id_col: str, text_col: str, texts: int, scratch: Scratch) -> DataFrame:
+    """(l, h, text): whole texts of at most ``texts`` rows of each language, those whose hash h of id and text is least.
+
+    The languages' row counts tell below which hash a few times as many rows lie as are wanted; one scan gathers
+    these, and only their hashes are ranked. So no task sees more than a bounded number of rows of a language, however
+    many it has. Rows that are equal in id and text count once.
+    """
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    pool = docs.where(F.col(lang_col).isNotNull() & rows & (F.octet_length(text_col) > 0)).select(F.col(lang_col).alias("l"), h.alias("h"), F.col(text_col).alias("text"))
+    counts = pool.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    least, most = -(1 << 63), (1 << 63) - 1
+    below = [(r["l"], most if r["n"] <= 4 * texts else least + int(2.0**64 * 3 * texts / r["n"])) for r in counts]
+    few = docs.sparkSession.createDataFrame(below, "l string, below long")
+    near = scratch.keep(pool.join(F.broadcast(few), "l").where(F.col("h") <= F.col("below")).groupBy("l", "h").agg(F.min("text").alias("text")), "near")
+    rank = F.row_number().over(W.partitionBy("l").orderBy("h"))
+    kept = near.select("l", "h").withColumn("i", rank).where(F.col("i") <= texts).drop("i")
+    return near.join(kept, ["l", "h"], "left_semi")
+
+
 def train(docs: DataFrame, rows, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = DICT_BYTES, texts: int = TEXTS, **how) -> Model:
     """A dictionary of every language, from the whole texts of at most ``texts`` of its rows, the first by a hash of id
     and text.
 
     Words are counted on executors; a dictionary a language comes to the driver. Words in more of the texts come later,
-    ties in order of bytes.
+    ties in order of bytes. Rows without language, without text or with an empty one teach nothing; an empty table
+    gives a model without languages.
     """
-    pool = docs.where(F.col(lang_col).isNotNull() & rows).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    pool = pool.where(F.octet_length("text") > 0).withColumn("i", F.row_number().over(W.partitionBy("l").orderBy("h", "text"))).where(F.col("i") <= texts)
+    pool = training_texts(docs, rows, lang_col, id_col, text_col, texts, Scratch(docs.sparkSession, "languages"))
 
     def words(batches):
         for b in batches:
-            for lang, text in zip(b.column("l").to_pylist(), as_bytes(b, "text"), strict=True):
-                found = sorted(set(folded(text).split()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["l", "w"])
+            for part in slices(b, rows=100):
+                for lang, text in zip(part.column("l").to_pylist(), as_bytes(part, "text"), strict=True):
+                    found = sorted(set(folded(text).split()))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], names=["l", "w"])
 
     # a word has a byte and the space after it at least
     order = W.partitionBy("l").orderBy(F.desc("n"), "w")
@@ -91,7 +114,8 @@ def train(docs: DataFrame, rows, lang_col: str = "lang", id_col: str = "doc_id",
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of each row, from its text alone."""
+    """(doc_id, lang_pred, score, rejected) of each row, from its text alone: repeated rows and null ids are rows like
+    others, null texts and texts without a letter are ``und`` with score 0, ties go to the first name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

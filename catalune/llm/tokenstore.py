@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalune.llm.common import Scratch, as_bytes
+from catalune.llm.common import Scratch, as_bytes, open_at, slices
 
 MAGIC = b"BPLANES1"
 CACHE = 1_000_000  #: pieces of text whose ids a worker keeps; beyond it the cache starts anew
@@ -123,17 +123,23 @@ class PieceEncoder:
     case of A-Z (word_bpe_49k.json does): a text's ids are then those of its pieces between ASCII white space.
     Repeated pieces are looked up; new ones are encoded together, a 0 between them, and parted at its id. Full stops
     and commas after an ASCII letter or digit are tokens of their own. A text with ``<|`` may hold a special token,
-    whose case counts, and is encoded as it is.
+    whose case counts, and is encoded as it is. PROBES tell whether a tokenizer is like this when the encoder is made;
+    with any other one, whole texts are encoded (``whole``).
     """
 
+    PROBES = ["Hello WORLD hello", "a\tb\nc\x0bd\x0c e\r\n  f", "x1y22 333 4,567.89", "Na\u00efve CAF\u00c9 \u6f22\u5b57 \u4f60 word, and. end.", "don't stop... a,b (c) [d] _e_ f-g", "  lead and trail  ", "\U0001f600 ok \u00e9\u0301", "http://a.b/c?d=e#f 10% $5", "", " ", "ab.", "ab,,", "1.", "\u00e9."]
+
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
-        self.zero = np.uint32(self._ids(["0"])[0][0])
+        self.tok, self.known, self.whole = Tokenizer.from_file(path), {}, False
+        zero = self._ids(["0"])[0]
+        self.zero = zero[0] if len(zero) else np.uint32(0)
+        by_piece = list(self.encode([p.encode() for p in self.PROBES], b""))
+        self.whole = len(zero) != 1 or by_piece != [x.tobytes() for x in self._ids(self.PROBES)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,12 +153,12 @@ class PieceEncoder:
         cut = {p for p, _ in ends}
         need = list(dict.fromkeys(q for q in [*(p for p in new if p not in cut), *(x for p, c in ends for x in (c, p[len(c) :]))] if q not in self.known))
         alone = [q for q in need if b"0" in q]
-        for q, ids in zip(alone, self._ids([q.decode() for q in alone]), strict=True):
+        for q, ids in zip(alone, self._ids([q.decode(errors="replace") for q in alone]), strict=True):
             self.known[q] = ids.tobytes()
         rest = [q for q in need if b"0" not in q]
         for i in range(0, len(rest), 200):
             part = rest[i : i + 200]
-            (ids,) = self._ids([b" 0 ".join(part).decode()])
+            (ids,) = self._ids([b" 0 ".join(part).decode(errors="replace")])
             raw, at = ids.tobytes(), 0
             for q, z in zip(part, [*(np.flatnonzero(ids == self.zero) * 4).tolist(), len(raw)], strict=True):
                 self.known[q] = raw[at:z]
@@ -162,12 +168,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
         """What is new in all the texts is learned first, so pass a few hundred at a time."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        split = [None if self.whole or b"<|" in t else t.lower().split() for t in texts]
         words: set[bytes] = set()
         words.update(*filter(None, split))
         self._learn(words)
         for text, pieces in zip(texts, split, strict=True):
-            yield (self._ids([text.decode()])[0].tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))) + end
+            yield (self._ids([text.decode(errors="replace")])[0].tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))) + end
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -180,13 +186,6 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def open_at(uri: str):
-    """pyarrow's file system and path of a URI; a path without scheme is local."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block: int = 65_536, mode: str = "byte") -> list[dict]:
     """Writes the ids of all texts in ascending order of ids (nulls first; equal ids by text); what files there are.
 
@@ -211,8 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str
                 tmp = f"{path}.{ctx.taskAttemptId()}"
                 out = system.open_output_stream(tmp)
                 enc, w = encoder(tokenizer), Writer(out, block, mode)
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for part in slices(b, rows=500):
                 for doc, raw in zip(part.column("id").to_pylist(), enc.encode(as_bytes(part, "text"), end), strict=True):
                     w.add(doc, raw)
                     n += len(raw) // 4

@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalune.llm import fmindex as F8
+from catalune.llm.common import Scratch
 
 RX = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -53,8 +55,8 @@ def test_spans():
 def test_documents(spark, docs):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
-    for block in (20_000, 7):
-        got = {r["doc_id"]: r for r in F8.contamination(docs, bench, per_block=block).collect()}
+    for block in (F8.BLOCK, 3000):
+        got = {r["doc_id"]: r for r in F8.contamination(docs, bench, block=block).collect()}
         hits = 0
         for r in docs.collect():
             n, hit, found = brute(items, r["text"]) if len(r["text"]) < 6000 else (got[r["doc_id"]]["n_words"], None, None)
@@ -74,3 +76,21 @@ def test_odd_documents(spark, odd):
     assert len(got) == 13 and [r["n_items"] for r in got if r["doc_id"] is None and r["n_words"]] == [2]
     assert F8.drop_contaminated(odd, bench).columns == odd.columns
     assert F8.contamination(odd.limit(0), bench).count() == 0 and F8.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_long_items_and_many_blocks(spark, monkeypatch):
+    """An item of more windows than a piece, and blocks of a few words: nothing is lost at the cuts."""
+    monkeypatch.setattr(F8, "PIECE", 5)
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(40)}" for _ in range(400)]
+    items = [("long", " ".join(long)), ("long", "once more another text of the same item in thirteen words or more here"), (None, "three plain words"), ("s", "only two")]
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("item", F.lit("own"))
+    texts = [" ".join(long[i : i + 13 + i % 9]) for i in range(0, 380, 7)] + [" ".join(long), "three plain words and only two", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for block in (F8.BLOCK, 200):
+        got = F8.contamination(d, bench, block=block).orderBy("doc_id").collect()
+        for r, t in zip(got, texts, strict=True):
+            n, hit, found = brute(items, t)
+            assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, len(hit), len(found - {None}))
+            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest()
+    assert len(F8.blocks_of(bench, 13, "item_id", "text", 200, Scratch(spark, "t"))) > 5
