@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from catalune.llm.common import Scratch, as_bytes, connected_components, packed, per_batch
 
 CAP = 1024  #: classes under one key before it is refined
+SALTS = 32  #: parts that the rows of such a key are split into while they are told from others
 REFINE = 2  #: times at most; no more than 2 to the power of the bits left can then share a key
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -83,45 +84,28 @@ def _forest(fps: np.ndarray, d: int) -> Iterator[tuple[int, int]]:
                     yield int(x.astype(np.int64)), int(y.astype(np.int64))
 
 
-def _links(d: int, cap: int | None):
-    """For mapInArrow, over (k, v, fp) sorted by k, v: links a, b; of keys with over cap rows k, v and fp again."""
+def _links(d: int):
+    """For mapInArrow, over (k, v, fp) sorted by k, v: links a, b of the forest of each key's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64) for _ in range(3)]
-        hot = None  # the key whose rows are just passed on
 
-        def out(links, passed):
-            n, m = len(links), len(passed[0]) if passed else 0
-            cols = [pa.array([x[i] for x in links] + [None] * m, pa.int64()) for i in (0, 1)]
-            more = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) if m else pa.nulls(n, pa.int64()) for c in passed or [()] * 3]
-            return pa.RecordBatch.from_arrays([*cols, *more], names=["a", "b", "k", "v", "fp"])
-
-        def work(k, v, fp, last):
-            """All groups but the last, which may go on in the next batch, unless this is the end; what is left."""
-            nonlocal hot
+        def work(k, v, fp, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+            """Links of all groups but the last, which may go on in the next batch, unless this is the end; and what is
+            left."""
             n = len(k)
             new = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1])) + 1
             bounds = np.concatenate([[0], new, [n]]) if n else np.zeros(1, np.int64)
-            links, passed = [], []
-            sizes = np.diff(bounds)
-            for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)).tolist():
-                a, z = int(bounds[g]), int(bounds[g + 1])
-                open_ = g == len(sizes) - 1 and not last
-                if hot == (k[a], v[a]) or cap is not None and z - a > cap:
-                    passed.append((k[a:z], v[a:z], fp[a:z]))
-                    hot = (k[a], v[a])
-                elif open_:
-                    return links, passed, (k[a:z], v[a:z], fp[a:z])
-                elif z - a > 1:
-                    links.extend(_forest(np.unique(fp[a:z]), d))
-            return links, passed, tuple(np.empty(0, np.int64) for _ in range(3))
+            done = len(bounds) - 1 if last else max(0, len(bounds) - 2)
+            links = [x for g in np.flatnonzero(np.diff(bounds[: done + 1]) > 1).tolist() for x in _forest(np.unique(fp[bounds[g] : bounds[g + 1]]), d)]
+            at = int(bounds[done])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]), [k[at:], v[at:], fp[at:]]
 
         for b in batches:
             cols = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("k", "v", "fp"), strict=True)]
-            links, passed, rest = work(*cols, False)
-            yield out(links, [np.concatenate(c) for c in zip(*passed, strict=True)] if passed else None)
-        links, passed, _ = work(*rest, True)
-        yield out(links, [np.concatenate(c) for c in zip(*passed, strict=True)] if passed else None)
+            out, rest = work(*cols, False)
+            yield out
+        yield work(*rest, True)[0]
 
     return run
 
@@ -134,12 +118,19 @@ def near_links(classes: DataFrame, scratch: Scratch, d: int = 2, cap: int = CAP)
     rows = classes.select("fp", F.explode(F.array(*map(struct, known))).alias("x")).select("x.k", "x.v", "fp")
     links = []
     for step in range(REFINE + 1):
-        dealt = rows.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
-        found = scratch.keep(dealt.mapInArrow(_links(d, cap if step < REFINE else None), "a long, b long, k long, v long, fp long"), f"blocks{step}")
-        links.append(found.where("a is not null").select("a", "b"))
-        wide = found.where("k is not null").select("k", "fp")
-        if step == REFINE or wide.isEmpty():
+        few, wide = rows, None
+        if step < REFINE:
+            # keys of too many classes are known before any of their rows are brought together
+            hot = scratch.keep(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("k", "v"), f"hot{step}")
+            if not hot.isEmpty():
+                rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+                salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+                few, wide = (rows.join(salted, ["k", "v", "salt"], how).drop("salt") for how in ("left_anti", "left_semi"))
+        dealt = few.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
+        links.append(scratch.keep(dealt.mapInArrow(_links(d), "a long, b long"), f"links{step}"))
+        if wide is None:
             break
+        wide = wide.select("k", "fp")
         finer = {}
         for k, bits in known.items():
             for j, part in enumerate(_cut(sorted(set(range(64)) - set(bits)), d + 1)):
