@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalune.llm.common import WORD, Scratch, packed
+from catalune.llm.common import WORD, Scratch, numbered, packed
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3  #: times a document or source at most
 BLOCK = 2000  #: documents of a block
 LAND = 14  #: documents kept for the landing problem of a source
+MERGE = 500  #: blocks whose open documents meet in the next flight
 MAX_SOURCES = 200_000  #: their totals, one row each, come to the driver; more are refused
 
 
@@ -72,11 +73,16 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def hold_back(p: np.ndarray) -> np.ndarray:
+    """Places of LAND open documents, spread evenly over the order given."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    return open_[np.unique(np.linspace(0, len(open_) - 1, LAND).round().astype(int))] if len(open_) else open_
+
+
 def settle(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The flight of all but LAND documents spread over the sizes, then the landing of these and what the flight left.
     Documents are in order of size."""
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    held = open_[np.unique(np.linspace(0, len(open_) - 1, LAND).round().astype(int))] if len(open_) else open_
+    held = hold_back(p)
     keep = p[held].copy()
     q = p.astype(float).copy()
     q[held] = 0.0
@@ -85,29 +91,34 @@ def settle(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     return landing(size, q)
 
 
-def _group(seed: int, last: bool):
+def _group(seed: int):
+    """A block's flight; in the only block that a source has left, its landing. The first block of a source with more
+    keeps some documents of all sizes out of the flight, for the landing."""
+
     def run(key, t):
         size, p, h = (t.column(c).to_numpy() for c in ("size", "p", "h"))
         order = np.lexsort((h, -size))  # like sizes meet, small ones last
         rng = np.random.default_rng([seed, *(k.as_py() & 0xFFFFFFFF for k in key)])
+        size, q = size[order], p[order]
+        if t.column("blocks")[0].as_py() <= 1:
+            q = settle(size, q, rng)
+        else:
+            held = hold_back(q) if key[1].as_py() == 0 else np.empty(0, np.int64)
+            kept = q[held]
+            q = q.copy()
+            q[held] = 0.0
+            q = flight(size, q, rng)
+            q[held] = kept
         done = np.empty(len(p))
-        done[order] = (settle if last else flight)(size[order], p[order], rng)
+        done[order] = q
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(done))
 
     return run
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING, seed: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: id, h (a hash of all its columns), size, source_size, target, copies.
-
-    Null and empty texts have size 0. A null source is a source, the last. Repeated rows are documents of their own,
-    and which of them is taken doesn't matter. The order of the rows given doesn't count, so reruns agree.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h"), F.col(source_col).alias("source"), size.alias("size"))
-    rows = scratch.keep(rows, "sizes")
+def plan_of(rows: DataFrame, weights: tuple, ceiling: int, block: int) -> DataFrame:
+    """Of each source: its number in order, sizes, target, whole copies of each document, probability of one more, and
+    blocks. One row a source comes to the driver and is broadcast."""
     per = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     got = per.limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
@@ -119,24 +130,64 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING, seed:
         ratio = min(t / r["words"], ceiling) if r["words"] else 0.0
         base = int(np.floor(ratio))
         plan.append((i, r["source"], r["words"], t, base, ratio - base, -(-r["n"] // block)))
-    kind = docs.schema[source_col].dataType.simpleString()
-    sources = spark.createDataFrame(plan, f"si long, name {kind}, source_size long, target double, base int, p double, blocks long")
-    units = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))
-    units = units.withColumn("block", F.pmod(F.xxhash64("h", "id"), "blocks"))
-    slim = units.select("si", "block", "id", "h", "size", "source_size", "target", "base", "p")
-    n, step, done = max((x[6] for x in plan), default=1), 0, []
+    kind = rows.schema["source"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(plan, f"si long, name {kind}, source_size long, target double, base int, rate double, blocks long")
+
+
+def chosen(docs: DataFrame, weights: tuple, ceiling: int, seed: int, block: int, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, h, source, size), and of each unit, all rows that are equal: id, h, m (its rows), size, source_size,
+    target, k (copies of all its rows together).
+
+    Rows are equal if id, text and source are. A unit has a whole number of copies and the fraction left as its
+    probability, so however many rows are equal, they are one row here.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col, source_col).alias("h"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = scratch.keep(rows, "sizes")
+    sources = plan_of(rows, weights, ceiling, block)
+    units = rows.groupBy("id", "h", "source", "size").agg(F.count("*").alias("m"))
+    units = units.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))
+    more = F.col("m") * F.col("rate")
+    units = units.withColumns({"whole": F.col("m") * F.col("base") + F.floor(more), "p": more - F.floor(more), "block": F.pmod(F.xxhash64("h", "id"), "blocks")})
+    open_ = units.select("si", "block", "blocks", "id", "h", "m", "size", "source_size", "target", "whole", "p")
+    most, step, done = max((r["blocks"] for r in sources.collect()), default=1), 0, []
     while True:
-        last = n <= 1
-        flown = scratch.keep(slim.groupBy("si", "block").applyInArrow(_group(seed + step, last), slim.schema), f"flight{step}")
+        flown = scratch.keep(open_.groupBy("si", "block").applyInArrow(_group(seed + step), open_.schema), f"flight{step}")
         done.append(flown.where("p = 0 or p = 1"))
-        if last:
+        if most <= 1:
             break
-        n, step = -(-n // 500), step + 1
-        slim = flown.where("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / 500).cast("long"))
+        most, step = -(-most // MERGE), step + 1
+        open_ = flown.where("p > 0 and p < 1").withColumns({"block": F.floor(F.col("block") / MERGE).cast("long"), "blocks": F.ceil(F.col("blocks") / MERGE).cast("long")})
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("id", "h", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
+    return rows, out.select("id", "h", "m", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("k"))
+
+
+def row_hash(id_col: str, text_col: str, source_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
+
+
+def _each(rows: DataFrame, units: DataFrame, id_col: str, h_col: str, keys: list[str], scratch: Scratch) -> DataFrame:
+    """rows with copies: those of their unit, shared out as evenly as can be among its equal rows."""
+    both = rows.join(units, F.col(id_col).eqNullSafe(F.col("uid")) & (F.col(h_col) == F.col("uh")))
+    alone = both.where("m = 1").withColumn("copies", F.col("k").cast("int"))
+    many = numbered(both.where("m > 1"), keys, scratch, "repeated")
+    many = many.withColumn("copies", (F.floor(F.col("k") / F.col("m")) + (F.col("i") < F.col("k") % F.col("m")).cast("int")).cast("int")).drop("i")
+    return alone.unionByName(many)
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING, seed: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a document: id, h (a hash of id, text and source), size, source_size, target, copies.
+
+    Null and empty texts have size 0. A null source is a source, the last. Repeated rows are documents of their own,
+    and which of them is taken doesn't matter. The order of the rows given doesn't count, so reruns agree. Extra
+    columns, of whatever type, aren't read; an empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows, units = chosen(docs, weights, ceiling, seed, block, id_col, text_col, source_col, scratch)
+    units = units.select(F.col("id").alias("uid"), F.col("h").alias("uh"), "m", "source_size", "target", "k")
+    return _each(rows, units, "id", "h", ["id", "h"], scratch).select("id", "h", "size", "source_size", "target", "copies")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -144,10 +195,12 @@ def mixture(docs: DataFrame) -> DataFrame:
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, each as many times as the mix takes it."""
-    taken = mix(docs, id_col=id_col, **how).groupBy("id", "h").agg(F.sum("copies").alias("k"), F.count("*").alias("m")).where("k > 0")
-    own = packed(docs, id_col, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    both = own.join(taken, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
-    one, more = both.where("m = 1"), both.where("m > 1").dropDuplicates(["id", "h"])
-    return one.unionByName(more).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).select("row.*")
+def repeat_documents(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING, seed: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, all columns, each as many times as the mix takes it; nulls, repeated rows and empty tables are
+    treated as ``mix`` does."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    _, units = chosen(docs, weights, ceiling, seed, block, id_col, text_col, source_col, scratch)
+    taken = units.where("k > 0").select(F.col("id").alias("uid"), F.col("h").alias("uh"), "m", "k")
+    own = packed(docs, id_col, row_hash(id_col, text_col, source_col))
+    out = _each(own, taken, "key", "hash", ["key", "hash"], scratch).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

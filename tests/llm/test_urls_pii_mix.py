@@ -137,3 +137,49 @@ def test_deep_branches_are_told_apart(spark):
     got = {r["page_id"]: r for r in urltree.judge(d, bad, bad=F.col("b") == 1).collect()}
     assert len(got) == 603 and all((got[i]["verdict"] == "block") == (i % 3 == 0) for i in range(600))
     assert got[702]["template"] == "h.test" + "/z" * 300 or got[702]["template"].startswith("h.test/*")
+
+
+def test_equal_rows_are_shared_out_evenly(spark):
+    """Nine rows in ten are one and the same; no task sees them together, and the mix is as near as before."""
+    rows = [(1, "w " * 7, "a")] * 2700 + [(i, "w " * (i % 50), "a" if i % 2 else "b") for i in range(10, 310)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = mixing.mix(d.repartition(9), block=40).toPandas()
+    same = got[got["id"] == 1]["copies"]
+    assert len(got) == 3000 and len(same) == 2700 and same.max() - same.min() <= 1 and got["copies"].between(0, 3).all()
+    for t, g in got.groupby("target"):
+        assert abs((g["size"] * g["copies"]).sum() - t) <= 0.01 * t + 50
+    again = mixing.mix(d, block=40).toPandas()
+    assert sorted(map(tuple, got[["id", "h", "copies"]].to_numpy().tolist())) == sorted(map(tuple, again[["id", "h", "copies"]].to_numpy().tolist()))
+    out = mixing.repeat_documents(d, block=40)
+    assert out.columns == d.columns and out.count() == int(got["copies"].sum())
+
+
+def test_numbered(spark):
+    from catalune.llm.common import Scratch, numbered
+
+    d = spark.range(1000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("b"), "id").repartition(7)
+    got = numbered(d, ["a", "b"], Scratch(spark, "t"), "n").toPandas().fillna("")
+    for _, g in got.groupby(["a", "b"]):
+        assert sorted(g["i"]) == list(range(len(g)))
+
+
+def test_a_small_source_with_one_long_document_meets_its_target(spark):
+    """The other source has many blocks, this one a single one: it is landed on its own documents."""
+    rows = [(i, "w " * (1 + i % 90), "a") for i in range(3000)] + [(10_000 + i, "w " * (30 + i % 40), "b") for i in range(60)] + [(20_000, "w " * 3000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string"), block=100).toPandas()
+    for t, g in got.groupby("target"):
+        assert abs((g["size"] * g["copies"]).sum() - t) <= 0.01 * t + 20
+
+
+def test_landing_against_every_outcome():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        size, p = rng.integers(1, 200, 8), rng.choice([0.0, 1.0, 0.3, 0.62], 8)
+        free = [i for i in range(8) if 0 < p[i] < 1]
+        off = lambda w: abs(sum(size[i] * (x - p[i]) for i, x in zip(free, w, strict=True))) + 0.02 * max(1.0, np.mean(size[free]) if free else 1.0) * abs(sum(x - p[i] for i, x in zip(free, w, strict=True)))
+        out = mixing.landing(size, p)
+        assert abs(off([out[i] for i in free]) - min(map(off, itertools.product((0, 1), repeat=len(free))))) < 1e-6 and all(out[i] == p[i] for i in range(8) if i not in free)
