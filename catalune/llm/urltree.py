@@ -1,9 +1,11 @@
 """URL filters: a path-template tree for each host, from DataFrame operations alone.
 
-Level by level, to the last segment of every path, the values of a segment under one template are generalised: where
-there are very many, rare ones become ``*`` unless their own labels set them apart; those whose labelled share doesn't
-differ significantly from that of all values there become ``~`` and are one branch. Each node's share of bad labels is smoothed by its parent's; what lies under a template
-whose smoothed share reaches ``reject`` is blocked. Explicit rules go first, the longest that fits.
+Branching by branching, to the end of every path, the values of a segment under one template are generalised. Values
+with too few labels to be compared become ``*`` where they are rare, or where most urls have a value of their own.
+What has enough labels (``*`` as one, too) is compared with each other: shares of bad labels are sorted into cells of
+1/64, and the least different neighbours are merged by the two-proportion test until all differ; merged values are one
+branch, ``~`` and its number. Each branch's share of bad labels is smoothed by its parent's; what lies under a template
+whose smoothed share reaches REJECT is blocked. Explicit rules go first, the longest that fits.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from catalune.llm.common import Scratch
 
 #: host and path of a rule, and its verdict; fixed by the contract
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-MANY = 16  #: values under one template above which rare ones are variable
 RARE = 0.05  #: share of a template's urls below which a value is rare
-Z = 1.96  #: standard errors below which a branch is like its siblings
+VARIED = 0.2  #: values to urls of a template above which the segment is variable
+Z = 1.96  #: standard errors up to which neighbours are alike
+CELLS = 64  #: cells of shares; what is in one cell is one for the comparison, so a node has at most 65
 LABELS = 8  #: labels that a branch needs to be compared
 PRIOR, WEIGHT = 0.2, 5.0  #: share of bad urls assumed without labels, and how many labels it counts for
 REJECT = 0.5
@@ -49,12 +52,41 @@ def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str, salts: in
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
+def literal(s: Column) -> Column:
+    """A segment as it stands in templates; one that looks like a wildcard gets a backslash."""
+    return F.when(s.rlike(r"^[*~\\]"), F.concat(F.lit("\\"), s)).otherwise(s)
+
+
+def agglomerated(cells: Column) -> Column:
+    """Cells (lo, hi, l, b, k, wild, paths) in order of share, the least different neighbours joined again and again
+    until all neighbours differ by the two-proportion test."""
+
+    def z(x: Column, y: Column) -> Column:
+        p = (x["b"] + y["b"]) / (x["l"] + y["l"])
+        err = F.sqrt(p * (1 - p) * (1 / x["l"] + 1 / y["l"]))
+        return F.when(err > 0, F.abs(x["b"] / x["l"] - y["b"] / y["l"]) / err).otherwise(0.0)
+
+    def both(x: Column, y: Column) -> Column:
+        return F.struct(x["lo"].alias("lo"), y["hi"].alias("hi"), *((x[c] + y[c]).alias(c) for c in ("l", "b", "k")), F.greatest(x["wild"], y["wild"]).alias("wild"), (x["paths"] + y["paths"]).alias("paths"))
+
+    def joined(a: Column, zs: Column) -> Column:
+        at = F.array_position(zs, F.array_min(zs)).cast("int")
+        one = F.concat(F.slice(a, F.lit(1), at - 1), F.array(both(F.get(a, at - 1), F.get(a, at))), F.slice(a, at + 2, F.size(a)))
+        return F.when(F.array_min(zs) <= Z, one).otherwise(a)
+
+    def step(a: Column, _: Column) -> Column:
+        zs = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: z(F.get(a, i - 1), F.get(a, i)))
+        return F.when(F.size(a) > 1, F.get(F.transform(F.array(zs), lambda x: joined(a, x)), F.lit(0))).otherwise(a)
+
+    return F.when(F.size(cells) > 1, F.aggregate(F.sequence(F.lit(1), F.size(cells)), cells, step)).otherwise(cells)
+
+
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, template, purity (the smoothed share of bad labels).
 
     Labelled are urls that a rule judges, and pages whose id is in ``labels`` (``bad`` tells which are bad; null
     ids and verdicts are passed over, several of one id are averaged). Repeated pages count as often as they occur.
-    Pages without host are a host of their own, "". Extra columns aren't read.
+    Pages without host are a host of their own, "". Extra columns aren't read; an empty table gives an empty one.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col))
@@ -72,39 +104,13 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
     urls = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("known").alias("l"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
     per_host = urls.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
     share = (F.col("hb") + WEIGHT * PRIOR) / (F.col("hl") + WEIGHT)
-    urls = scratch.keep(urls.join(per_host.select("host", share.alias("purity")), "host").withColumn("tmpl", F.lit("")), "urls0")
+    urls = _salted(urls, per_host.select("host", share.alias("purity")), ["host"], "segs")
+    urls = scratch.keep(urls.withColumns({"tmpl": F.lit(""), "rest": F.col("segs")}), "urls0")
     done, i = [], 0
     while not urls.isEmpty():
-        urls = urls.withColumn("s", F.coalesce(F.get("segs", F.lit(i)), F.lit("")))
-        child = urls.groupBy("host", "tmpl", "s").agg(*(F.sum(c).alias(c) for c in "nlb"), F.max("purity").alias("purity"), F.count("*").alias("own"))
-        parent = child.groupBy("host", "tmpl").agg(F.count("*").alias("kinds"), *(F.sum(c).alias(f"p{c}") for c in "nlb"))
-        p = F.col("pb") / F.col("pl")
-        err = F.sqrt(p * (1 - p) / F.col("l") * (1 - F.col("l") / F.col("pl")))
-        few = F.col("l") < LABELS
-        alike = ~few & (F.col("l") < F.col("pl")) & (F.abs(F.col("b") / F.col("l") - p) <= Z * err)
-        token = (
-            F.when(F.col("s") == "", "")
-            .when((F.col("kinds") > MANY) & (F.col("n") < RARE * F.col("pn")) & (few | alike), "*")
-            .when(alike, "~")
-            .otherwise(F.col("s"))
-        )
-        child = scratch.keep(_salted(child, parent, ["host", "tmpl"], "s").withColumn("token", token).select("host", "tmpl", "s", "token", "l", "b", "purity", "own"), f"values{i}")
-        node = child.groupBy("host", "tmpl", "token").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"), F.sum("own").alias("paths"))
-        # a node that is all of its parent's labels, or an end of path, is smoothed like any other
-        pure = (F.col("nb") + WEIGHT * F.col("purity")) / (F.col("nl") + WEIGHT)
-        step = _salted(child.drop("l", "b", "own"), node, ["host", "tmpl", "token"], "s").select("host", "tmpl", "s", "token", pure.alias("pure"), "paths")
-        urls = urls.join(step, ["host", "tmpl", "s"])
-        urls = urls.withColumns({"tmpl": F.when(F.col("token") == "", F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), "token")), "purity": F.col("pure")})
-        # a path alone under its node has no branches left: its segments stay as they are and its share is smoothed once a level
-        rest = F.when(F.col("token") == "", 0).otherwise(F.size("segs") - i)
-        own = F.col("b") / F.col("l")
-        alone = F.when(F.col("l") > 0, own + (F.col("purity") - own) * F.pow(WEIGHT / (F.col("l") + WEIGHT), rest)).otherwise(F.col("purity"))
-        tail = F.when(rest > 1, F.concat(F.lit("/"), F.array_join(F.slice("segs", i + 2, F.greatest(rest, F.lit(1))), "/"))).otherwise("")
-        ended = (F.col("token") == "") | (F.col("paths") == 1)
-        cols = ["host", "segs", "n", "l", "b", "purity", "tmpl"]
-        urls = scratch.keep(urls.select(*cols[:5], F.when(ended, alone).otherwise(F.col("purity")).alias("purity"), F.when(ended, F.concat("tmpl", tail)).otherwise(F.col("tmpl")).alias("tmpl"), ended.alias("ended")), f"urls{i + 1}")
+        urls = _level(urls, scratch, i)
         done.append(urls.where("ended").select("host", "segs", "tmpl", "purity"))
-        urls, i = urls.where("not ended").select(*cols), i + 1
+        urls, i = urls.where("not ended").drop("ended"), i + 1
     ends = done[0] if done else urls.select("host", "segs", "tmpl", "purity")
     for d in done[1:]:
         ends = ends.unionByName(d)
@@ -112,3 +118,46 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
     out = _salted(rows, ends, ["host", "segs"], "id")
     final = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", final.alias("verdict"), F.concat("host", "tmpl").alias("template"), F.round("purity", 6).alias("purity"))
+
+
+def _level(urls: DataFrame, scratch: Scratch, i: int) -> DataFrame:
+    """The urls (host, segs, n, l, b, purity, tmpl, rest) with the next branching of their node added to tmpl and taken
+    from rest, the purity of the branch, and whether they end there."""
+    node = ["host", "tmpl"]
+    # what all of a node's urls have in common is no branching: the least and the greatest rest tell how much it is
+    ends = urls.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+    same = F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    lead = F.aggregate(same, start, lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))["n"]
+    urls = _salted(urls, ends.select(*node, lead.alias("lead")), node, "segs")
+    common = F.when(F.col("lead") > 0, F.concat(F.lit("/"), F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("lead")), literal), "/"))).otherwise("")
+    urls = urls.withColumns({"s": F.coalesce(F.get("rest", F.col("lead")), F.lit("")), "common": common})
+    child = urls.groupBy(*node, "s").agg(*(F.sum(c).alias(c) for c in "nlb"), F.max("purity").alias("purity"), F.count("*").alias("paths"))
+    child = scratch.keep(child, f"values{i}")
+    parent = child.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("n").alias("pn"))
+    # rare values, and those of segments that nearly every url has its own of, are variable unless they can be compared
+    variable = (F.col("l") < LABELS) & ((F.col("n") < RARE * F.col("pn")) | (F.col("kinds") > VARIED * F.col("pn")))
+    unit = F.when(F.col("s") == "", "").when(variable, "*").otherwise(literal(F.col("s")))
+    child = _salted(child, parent, node, "s").withColumn("unit", unit)
+    units = child.groupBy(*node, "unit").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum("paths").alias("paths"), F.max("purity").alias("purity"), F.max("kinds").alias("kinds"))
+    cell = F.when((F.col("unit") != "") & (F.col("l") >= LABELS), F.round(F.col("b") / F.col("l") * CELLS).cast("int"))
+    units = scratch.keep(units.withColumn("cell", cell), f"units{i}")
+    cells = units.groupBy(*node, "cell").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("k"), F.max((F.col("unit") == "*").cast("int")).alias("wild"), F.sum("paths").alias("paths"))
+    one = F.struct(F.col("cell").alias("lo"), F.col("cell").alias("hi"), "l", "b", "k", "wild", "paths")
+    alike = cells.groupBy(*node).agg(F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), one))).alias("cells"))
+    units = _salted(units, alike.select(*node, agglomerated(F.col("cells")).alias("groups")), node, "unit")
+    at = F.when(F.col("cell").isNotNull(), F.size(F.filter("groups", lambda g: g["hi"] < F.col("cell"))))
+    units = units.withColumn("at", at).withColumn("g", F.get("groups", F.col("at")))
+    merged = F.coalesce(F.col("g.k") > 1, F.lit(False))
+    token = F.when(merged & (F.col("g.wild") == 1), "*").when(merged, F.concat(F.lit("~"), F.col("at").cast("string"))).otherwise(F.col("unit"))
+    nl, nb = F.when(merged, F.col("g.l")).otherwise(F.col("l")), F.when(merged, F.col("g.b")).otherwise(F.col("b"))
+    # a path that is all of its node has no branch to be judged apart
+    pure = F.when(F.col("kinds") == 1, F.col("purity")).otherwise((nb + WEIGHT * F.col("purity")) / (nl + WEIGHT))
+    units = units.select(*node, "unit", token.alias("token"), pure.alias("pure"), F.when(merged, F.col("g.paths")).otherwise(F.col("paths")).alias("paths"))
+    step = _salted(child.select(*node, "s", "unit"), units, [*node, "unit"], "s").drop("unit")
+    urls = _salted(urls, step, [*node, "s"], "segs")
+    left = F.slice("rest", F.col("lead") + 2, F.greatest(F.size("rest"), F.lit(1)))
+    alone = (F.col("token") == "") | (F.col("paths") == 1)
+    tail = F.when(F.col("token") == "", "").otherwise(F.concat(F.lit("/"), F.array_join(F.concat(F.array("token"), F.when(alone, F.transform(left, literal)).otherwise(F.array().cast("array<string>"))), "/")))
+    out = urls.select("host", "segs", "n", "l", "b", F.col("pure").alias("purity"), F.concat("tmpl", "common", tail).alias("tmpl"), left.alias("rest"), alone.alias("ended"))
+    return scratch.keep(out, f"urls{i + 1}")
