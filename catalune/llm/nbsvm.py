@@ -20,6 +20,7 @@ from catalune.llm.common import as_bytes, fold, label_sample, per_batch, sampled
 
 DIM = 1 << 18
 PER_CLASS = 1500  #: labelled rows of each class at most that the model is fitted to
+PLACES = 60_000_000  #: features of all rows together that it is fitted to, at most (8 bytes each)
 _SHAPE = np.full(256, 4, np.int64)  # other; digit 0, lower 1, upper 2, beyond ASCII 3
 _SHAPE[48:58], _SHAPE[97:123], _SHAPE[65:91], _SHAPE[128:] = 0, 1, 2, 3
 
@@ -110,6 +111,18 @@ def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(max(a, 1e-3)), float(b)
 
 
+def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Of each place: log of the share of class 1's rows that have it, over that of class -1's; half a row is added to
+    each count and one to each class. Ratios nearer to 0 than ``least`` are 0."""
+    count = {s: np.full(DIM, 0.5) for s in (1, -1)}
+    for x, s in zip(rows, y.tolist(), strict=True):
+        count[s][x] += 1
+    n = {s: max(1, (y == s).sum()) for s in (1, -1)}
+    ratio = np.log((count[1] / (n[1] + 1)) / (count[-1] / (n[-1] + 1)))
+    ratio[np.abs(ratio) < least] = 0
+    return ratio
+
+
 def fit(rows: list[np.ndarray], labels: list[int], share: float | None = None, cost: float = 1.0) -> Model:
     """share: of label 1 among all labelled rows, where the rows given were drawn evenly from the classes."""
     y = np.array([1 if v else -1 for v in labels])
@@ -119,12 +132,8 @@ def fit(rows: list[np.ndarray], labels: list[int], share: float | None = None, c
     prior = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y < 0).sum())) * len(y)
 
     def one(pick: np.ndarray) -> Model:
-        count = {s: np.ones(DIM) * 0.5 for s in (1, -1)}
-        for i in pick:
-            count[y[i]][rows[i]] += 1
+        ratio = log_count_ratio([rows[i] for i in pick], y[pick])
         n = {s: max(1, (y[pick] == s).sum()) for s in (1, -1)}
-        ratio = np.log((count[1] / (n[1] + 1)) / (count[-1] / (n[-1] + 1)))
-        ratio[np.abs(ratio) < 0.05] = 0
         each = np.array([cost * len(pick) / (2 * n[s]) for s in y[pick]])
         w, bias = hinge([rows[i] for i in pick], y[pick], ratio, each)
         return Model(w * ratio, ratio, bias)
@@ -144,8 +153,25 @@ def fit(rows: list[np.ndarray], labels: list[int], share: float | None = None, c
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Fitted to at most per_class whole texts of each class; their features, and nothing else, come to the driver."""
+def to_bitmap(places: np.ndarray) -> bytes:
+    """DIM bits, compressed: 32 KB at most of whatever text."""
+    bits = np.zeros(DIM, np.uint8)
+    bits[places] = 1
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
+def from_bitmap(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8)))
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", per_class: int = PER_CLASS, places: int = PLACES) -> Model:
+    """Fitted to at most per_class whole texts of each class; their features, and nothing else, come to the driver:
+    as bitmaps of 32 KB at most. Of these rows, in order of a hash of the id, so many are taken as have ``places``
+    features together at most (a class always has one row), which bounds the driver's memory whatever the texts.
+
+    Rows without id or label teach nothing, nor do ids whose labels disagree; null texts count as empty, of an id with
+    several texts the least is taken. With one class, or none, the score is a constant.
+    """
     sample = label_sample(labels, label_id, label_col, train_rows, per_class)
     kept = sample.collect()
     spark = docs.sparkSession
@@ -153,13 +179,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         mark = np.zeros(DIM, np.uint8)
-        raw = pa.array([features(t, mark).astype("<u4").tobytes() for t in as_bytes(b, "text")], pa.binary())
+        raw = pa.array([to_bitmap(features(t, mark)) for t in as_bytes(b, "text")], pa.binary())
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), raw], names=["id", "y", "x"])
 
     got = texts.mapInArrow(per_batch(one), f"id {sample.schema['id'].dataType.simpleString()}, y int, x binary").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     n = labels.where(F.col(label_col).isin(0, 1) & train_rows).agg(F.avg(label_col)).first()[0]
-    return fit([np.frombuffer(r["x"], "<u4").astype(np.int64) for r in got], [r["y"] for r in got], n)
+    rows, y, left = [], [], places
+    for r in got:
+        x = from_bitmap(r["x"])
+        left -= len(x)
+        if left >= 0 or r["y"] not in y:
+            rows.append(x)
+            y.append(r["y"])
+    return fit(rows, y, n)
 
 
 def _scores(model, batch: pa.RecordBatch, text_col: str) -> list[float]:

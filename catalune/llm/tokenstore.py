@@ -138,7 +138,10 @@ class PieceEncoder:
         self.tok, self.known, self.whole = Tokenizer.from_file(path), {}, False
         zero = self._ids(["0"])[0]
         self.zero = zero[0] if len(zero) else np.uint32(0)
-        by_piece = list(self.encode([p.encode() for p in self.PROBES], b""))
+        try:
+            by_piece = list(self.encode([p.encode() for p in self.PROBES], b""))
+        except ValueError:  # the 0 between pieces is no token of its own
+            by_piece = []
         self.whole = len(zero) != 1 or by_piece != [x.tobytes() for x in self._ids(self.PROBES)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -144,3 +145,80 @@ def test_dictionary_words_by_texts(spark):
     d = spark.createDataFrame([(1, "B a", "x"), (2, "a é\na", "x"), (3, "", "x"), (4, None, "x"), (5, "c", None), (6, "  ", "y")], "doc_id long, text string, lang string")
     assert langzip.train(d, F.lit(True)).dicts == {"x": "é b a ".encode()}
     assert langzip.train(d, F.lit(True), dict_bytes=4).dicts == {"x": b"b a "}
+
+
+def slow_places(text):
+    """n-grams one by one, hashed as the classifier hashes them."""
+    a, out = list(text), set()
+    m = 1 << 32
+    for i in range(len(a)):
+        out.add(a[i])
+        if i + 1 < len(a):
+            two = (a[i] * 257 + a[i + 1]) % m
+            out.add(((two * 2654435761) % m) >> 14)
+            if i + 2 < len(a):
+                out.add((((two * 263 + a[i + 2]) % m * 2246822519 + 77) % m) >> 14)
+    kind = lambda c: 0 if 48 <= c < 58 else 1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 if c >= 128 else 4
+    shapes, last = [], b""
+    for w in text.split():
+        shapes.append(b"=" if w == last else b"%d%d%d" % (kind(w[0]), kind(w[-1]), 0 if len(w) == 1 else 1 if len(w) < 4 else 2))
+        last = w
+    for n in (1, 2, 3):
+        out |= {zlib.crc32(b" ".join(shapes[i : i + n])) >> 14 for i in range(len(shapes) - n + 1)}
+    return sorted(out)
+
+
+def test_nbsvm_features_ratios_and_dual(docs):
+    texts = [r["text"].encode() for r in docs.limit(40).collect()] + [b"", b"a", b"ab", b"x x x Y1 9", "\u00e9 \u6f22".encode(), b"\xff\xfe bad utf"]
+    mark = np.zeros(nbsvm.DIM, np.uint8)
+    rows = [nbsvm.features(t, mark) for t in texts]
+    assert [r.tolist() for r in rows] == [slow_places(t) for t in texts]
+    assert all(np.array_equal(nbsvm.from_bitmap(nbsvm.to_bitmap(r)), r) for r in rows)
+    y = np.array([1 if i % 3 else -1 for i in range(len(rows))])
+    ratio = nbsvm.log_count_ratio(rows, y, least=0.0)
+    for place in [*rows[0][:20].tolist(), 5, 77_777]:
+        p, q = (sum(place in set(r.tolist()) for r, s in zip(rows, y, strict=True) if s == c) + 0.5 for c in (1, -1))
+        assert abs(ratio[place] - np.log((p / ((y == 1).sum() + 1)) / (q / ((y == -1).sum() + 1)))) < 1e-12
+    # the dual's optimum is the primal's: weights and bias (a feature that is always 1) leave no duality gap
+    cost = np.full(len(rows), 0.7)
+    w, b = nbsvm.hinge(rows, y, ratio, cost, rounds=3000)
+    xs = [ratio[r] / (np.sqrt((ratio[r] ** 2).sum()) or 1.0) for r in rows]
+    margins = np.array([w[r] @ x + b for r, x in zip(rows, xs, strict=True)])
+    primal = 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - y * margins)).sum()
+    better = min(0.5 * (v @ v + c * c) + (cost * np.maximum(0, 1 - y * np.array([v[r] @ x + c for r, x in zip(rows, xs, strict=True)]))).sum() for v, c in [(w * f, b * f + g) for f in (0.9, 0.99, 1.01, 1.1) for g in (-0.05, -0.01, 0, 0.01, 0.05)])
+    assert primal <= better + 1e-3
+
+
+def test_quality_scores_follow_the_model(spark, docs, labels):
+    model = nbsvm.train(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in nbsvm.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        x = np.array(slow_places(r["text"].encode()))
+        m = sum(model.weights[i] for i in x) / np.sqrt(sum(model.ratio[i] ** 2 for i in x)) + model.bias
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(model.a * m + model.b, -30, 30)))) < 1e-9
+
+
+def test_forest_paths_and_threshold():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (300, 5)), rng.normal(6, 0.3, (20, 5))])
+    good = np.arange(320) < 300
+    f = isoforest.grow(x[good], (x.min(0), x.max(0)), trees=15, rows=64)
+    for row, a in zip(x[::17], f.anomaly(x)[::17], strict=True):
+        total = 0.0
+        for t in range(15):
+            at = 0
+            while f.feature[t][at] >= 0:
+                at = f.left[t][at] + (row[f.feature[t][at]] >= f.threshold[t][at])
+            total += f.length[t][at]
+        assert abs(a - 2.0 ** (-total / 15 / isoforest._mean_path(64))) < 1e-12
+    least = isoforest.calibrate(f, x, good, 0.99)
+    a = f.anomaly(x)
+    kept = lambda c: ((a < c) & good).sum() / 300
+    score = lambda c: ((a >= c) & ~good).sum() / 20 - ((a >= c) & good).sum() / 300
+    assert kept(least) >= 0.99 and abs(score(least) - max(score(c) for c in np.unique(a) if kept(c) >= 0.99)) < 1e-12
+
+
+def test_bytes_that_are_no_text():
+    bad = b"ab \xff\xc3 \xe6\xbc\xa2 z"
+    assert isoforest.statistics(bad)[:2] == (4, 6)
+    assert langzip.Model({"a": b"x "}).predict(bad)[0] == "a" and len(crf.tokens(bad)) == 4

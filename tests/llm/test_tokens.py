@@ -80,3 +80,17 @@ def test_odd_documents(spark, odd):
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
     assert {r["doc_id"]: r["n_tokens"] for r in got}[4] == 1
     assert S.token_output(odd.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    assert not S.PieceEncoder(PATH).whole
+    other = PATH.replace("word_bpe_49k", "byte_bpe_50k")
+    e, tok = S.PieceEncoder(other), Tokenizer.from_file(other)
+    texts = ["Hello  World 42", "a\nb", ""]
+    assert e.whole and [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts], b"")] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bytes_that_are_no_text_are_encoded():
+    assert len(list(S.PieceEncoder(PATH).encode([b"ab \xff\xc3 z", b"<| \xff"], b"\x01\0\0\0"))) == 2
