@@ -1,15 +1,15 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give scores and offsets.
 
-Labels are of documents, so the tokens of the sampled documents are labelled first: a token of a toxic document is
-toxic if its word, or an opening of it, is far more common in toxic documents than in others (``lift``). The field
-has two states; a token's features are its word, its openings of 3 to 6 bytes and its ending of 3. At most PER_CLASS
-labelled documents of each class are learned from.
+The field has two states; a token's features are its word, its openings of 3 to 6 bytes and its ending of 3. Labels
+are of documents, so the field is fitted to what they say of the tokens: all tokens of a document labelled 0 are clean,
+and one token at least of a document labelled 1 is toxic. Both are probabilities of the chain (the clean path's share
+of all paths, and the rest), so their likelihood has a gradient by forward and backward, and no token is labelled
+beforehand. In each round a random part of the words can't be what makes a document toxic, so others must.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +22,10 @@ from catalune.llm.nbsvm import logistic
 from catalune.llm.simhash import fingerprint
 
 DIM = 1 << 17
-PER_CLASS = 1500  #: labelled documents of each class at most
-SEGMENT = 48  #: tokens of a training sequence
-SEGMENTS = 2400  #: training sequences at most
-LIFT, SUPPORT = 12.0, 5
+PER_CLASS = 1500  #: labelled documents of each class at most that are learned from
+MOST = 5000  #: tokens of such a document at most; of a longer one, segments spread evenly over it
+SEGMENT = 48  #: tokens that are a chain of their own while learning
+ROUNDS, PULL, DROP = 40, 3e-4, 0.5  #: chosen by three folds within the training rows of sf0.1
 CACHE = 600_000  #: words whose emission a worker keeps
 #: A-Z lower-cased, other ASCII but 0-9 to blanks of the same length: places stay.
 TOKEN_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -35,23 +35,16 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(TOKEN_BYTES).split()
 
 
-def keys(word: bytes) -> list[bytes]:
-    """What a word is known by: itself and its openings."""
-    return [b"=" + word] + [b"^" + word[:n] for n in (3, 4, 5, 6) if len(word) >= n]
-
-
 def features(word: bytes) -> list[int]:
-    return [zlib.crc32(k) % DIM for k in (*keys(word), b"$" + word[-3:], b"*")]
+    own = [b"=" + word] + [b"^" + word[:n] for n in (3, 4, 5, 6) if len(word) >= n]
+    return [zlib.crc32(k) % DIM for k in (*own, b"$" + word[-3:], b"*")]
 
 
-def toxic_keys(texts: list[set[bytes]], y: list[int], lift: float = LIFT, support: int = SUPPORT) -> set[bytes]:
-    """Keys in at least ``support`` toxic documents whose share there is ``lift`` times that elsewhere, or more."""
-    n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    c1: Counter[bytes] = Counter()
-    c0: Counter[bytes] = Counter()
-    for words, t in zip(texts, y, strict=True):
-        (c1 if t else c0).update({k for w in words for k in keys(w)})
-    return {k for k, n in c1.items() if n >= support and (n / n1) / ((c0[k] + 1) / n0) >= lift}
+def segments(words: list[bytes], most: int = MOST) -> list[list[bytes]]:
+    """Chains of SEGMENT tokens, evenly spread ones if there are more than ``most`` tokens."""
+    cut = [words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT)]
+    n = max(1, most // SEGMENT)
+    return cut if len(cut) <= n else [cut[j] for j in np.linspace(0, len(cut) - 1, n).astype(int)]
 
 
 @dataclass
@@ -113,46 +106,72 @@ def posterior(e: np.ndarray, first: np.ndarray, model: Field) -> np.ndarray:
     return x / (1 + x)
 
 
-def fit_field(seqs: list[list[list[int]]], tags: list[list[int]], rounds: int = 40, pull: float = 1e-4) -> Field:
-    """Maximum likelihood by AdaGrad on the whole set: expected against seen features, by forward and backward."""
-    n, length = len(seqs), max(map(len, seqs), default=0)
-    if not n or not length:
+def _chains(t: np.ndarray, start: float, e: np.ndarray, lens: np.ndarray, live: np.ndarray):
+    """Of chains in columns, longest first, with emissions e of the toxic state: log weights of all paths up to a token
+    (clean, toxic), from it on, and of the whole. live: how many chains reach a token."""
+    length, n = e.shape
+    f, b = np.zeros((2, length, n)), np.zeros((2, length, n))
+    f[1, 0] = start + e[0]
+    for j in range(1, length):
+        m = live[j]
+        for k in (0, 1):
+            f[k, j, :m] = np.logaddexp(f[0, j - 1, :m] + t[0, k], f[1, j - 1, :m] + t[1, k]) + (e[j, :m] if k else 0)
+    last = lens - 1, np.arange(n)
+    z = np.logaddexp(f[0][last], f[1][last])
+    for j in range(length - 2, -1, -1):
+        m = live[j + 1]
+        for k in (0, 1):
+            b[k, j, :m] = np.logaddexp(t[k, 0] + b[0, j + 1, :m], t[k, 1] + b[1, j + 1, :m] + e[j + 1, :m])
+    return f, b, z
+
+
+def gradient(t: np.ndarray, start: float, e: np.ndarray, lens: np.ndarray, live: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """Of the weighted log likelihood of the documents' labels, by emission, move and start; and the likelihood.
+
+    P(clean) of a document is the product over its chains. d log P(clean) = clean path's features - expected ones;
+    d log(1 - P(clean)) is the same times -P/(1 - P).
+    """
+    f, b, z = _chains(t, start, e, lens, live)
+    logp = np.minimum(np.bincount(doc, (lens - 1) * t[0, 0] - z, len(y)), -1e-9)
+    p = np.exp(logp)
+    push = np.where(y == 1, np.minimum(p / (1 - p), 50.0), -1.0) * weight
+    r = push[doc]
+    toxic = np.exp(np.minimum(f[1] + b[1] - z, 0)) * (np.arange(len(e))[:, None] < lens) * r
+    moves = np.zeros((2, 2))
+    for j in range(len(e) - 1):
+        m = live[j + 1]
+        for x in (0, 1):
+            for k in (0, 1):
+                moves[x, k] += (r[:m] * np.exp(f[x, j, :m] + t[x, k] + b[k, j + 1, :m] + (e[j + 1, :m] if k else 0) - z[:m])).sum()
+    moves[0, 0] -= (r * (lens - 1)).sum()
+    return toxic, moves, float(toxic[0].sum()), float((weight * np.where(y == 1, np.log1p(-p), logp)).sum())
+
+
+def fit_field(docs: list[list[list[bytes]]], y: np.ndarray, rounds: int = ROUNDS, pull: float = PULL, drop: float = DROP, seed: int = 3) -> Field:
+    """docs: segments of words. Maximum likelihood of the documents' labels, both classes of equal weight, by AdaGrad
+    on the whole set; weights are pulled to their start by ``pull``."""
+    order = sorted(((len(s), d, s) for d, segs in enumerate(docs) for s in segs if s), key=lambda x: (-x[0], x[1]))
+    if not order:
         return Field()
-    k = max(len(f) for s in seqs for f in s)
-    idx = np.full((n, length, k), DIM, np.int64)
-    y, mask = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-    for i, (s, t) in enumerate(zip(seqs, tags, strict=True)):
-        for j, f in enumerate(s):
-            idx[i, j, : len(f)] = f
-        y[i, : len(t)], mask[i, : len(s)] = t, True
-    places, back = np.unique(idx, return_inverse=True)
-    back = back.reshape(idx.shape)
-    w, t, start = np.zeros(len(places)), np.array([[2.0, -2.0], [1.0, -1.0]]), -3.0
-    none = places == DIM
-    gw, gt, gs = np.full(len(places), 1e-8), np.full((2, 2), 1e-8), 1e-8
-    pairs = mask[:, 1:] & mask[:, :-1]
-    seen_t = np.array([[(pairs & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+    vocab: dict[bytes, int] = {}
+    lens, doc = np.array([n for n, *_ in order]), np.array([d for _, d, _ in order])
+    tok = np.zeros((int(lens[0]), len(order)), np.int64)
+    for i, (n, _, s) in enumerate(order):
+        tok[:n, i] = [vocab.setdefault(w, len(vocab)) for w in s]
+    live = (lens[None] > np.arange(len(tok))[:, None]).sum(1)
+    each = [features(w) for w in vocab]
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    places, col = np.unique(np.concatenate(each), return_inverse=True)
+    w, t, start = np.zeros(len(places)), np.array([[2.0, -2.0], [1.0, -1.0]]), -4.0
+    # at first, about every second document would have a toxic token
+    w[np.searchsorted(places, zlib.crc32(b"*") % DIM)] = np.log(35 * len(docs) / lens.sum())
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    begin, gw, gt, gs, rng = w.copy(), np.full(len(w), 1e-8), np.full((2, 2), 1e-8), 1e-8, np.random.default_rng(seed)
     for _ in range(rounds):
-        w[none] = 0
-        e = np.where(mask, w[back].sum(2), 0)
-        e2 = np.stack([np.zeros_like(e), e], axis=2)
-        f = np.empty((n, length, 2))
-        f[:, 0] = e2[:, 0] + np.array([0, start])
-        for j in range(1, length):
-            nxt = np.logaddexp(f[:, j - 1, 0, None] + t[0], f[:, j - 1, 1, None] + t[1]) + e2[:, j]
-            f[:, j] = np.where(mask[:, j, None], nxt, f[:, j - 1])
-        z = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-        b = np.zeros((n, length, 2))
-        expect_t = np.zeros((2, 2))
-        for j in range(length - 2, -1, -1):
-            ahead = b[:, j + 1] + e2[:, j + 1]
-            b[:, j] = np.where(mask[:, j + 1, None], np.logaddexp(t[:, 0] + ahead[:, 0, None], t[:, 1] + ahead[:, 1, None]), b[:, j + 1])
-            both = np.exp(f[:, j, :, None] + t + ahead[:, None, :] - z[:, None, None])
-            expect_t += both[mask[:, j + 1]].sum(0)
-        p = np.exp(f[:, :, 1] + b[:, :, 1] - z[:, None]) * mask
-        g = np.bincount(back.ravel(), np.repeat((y - p).ravel(), k), len(places)) / n - pull * w
-        g[none] = 0
-        g_t, g_s = (seen_t - expect_t) / n, float((y[:, 0] - p[:, 0]).mean())
+        e = np.bincount(row, w[col], len(each))[tok] - 20.0 * ((rng.random(len(each)) < drop)[tok] * (y[doc] == 1))
+        toxic, g_t, g_s, _ = gradient(t, start, e, lens, live, doc, y, weight)
+        by_word = np.bincount(tok.ravel(), toxic.ravel(), len(each))
+        g = np.bincount(col, by_word[row], len(places)) - pull * (w - begin)
         gw += g * g
         gt += g_t * g_t
         gs += g_s * g_s
@@ -160,7 +179,7 @@ def fit_field(seqs: list[list[list[int]]], tags: list[list[int]], rounds: int =
         t = np.clip(t + 0.1 * g_t / np.sqrt(gt), -4, 4)
         start += 0.1 * g_s / np.sqrt(gs)
     out = Field(t=t, start=float(start))
-    out.w[places[~none]] = w[~none]
+    out.w[places] = w
     return out
 
 
@@ -224,68 +243,66 @@ class Tagger:
         return [{"first": s["first"], "end": s["end"]} for s in out]
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Field:
-    """At most per_class whole texts of each class come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, most: int = MOST) -> Field:
+    """At most per_class documents of each class come to the driver, as at most ``most`` tokens each: all of a shorter
+    text, segments spread evenly over a longer one. None is left out for its length.
+
+    Rows without id or label teach nothing, nor do ids whose labels disagree; null texts count as empty, of an id with
+    several texts the least is taken. With one class, or none, the score is a constant.
+    """
     sample = label_sample(labels, label_id, label_col, train_rows, per_class)
     kept = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
-    got = sampled_texts(docs, kept, id_col, text_col).where(F.octet_length("text") <= 50_000).collect()
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = as_bytes(b, "text")
+        cut = pa.array([b"\n".join(b" ".join(s) for s in segments(tokens(t), most)) for t in texts], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), cut, pa.array([fingerprint(t) for t in texts], pa.uint64()).cast(pa.string())], names=["id", "y", "cut", "fp"])
+
+    schema = f"id {sample.schema['id'].dataType.simpleString()}, y int, cut binary, fp string"
+    got = sampled_texts(docs, kept, id_col, text_col).mapInArrow(per_batch(one), schema).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
-    y = [r["y"] for r in got]
-    if len(set(y)) < 2:
-        return Field(constant=0.5 if not y else float(y[0]))
     share = labels.where(F.col(label_col).isin(0, 1) & train_rows).agg(F.avg(label_col)).first()[0]
-    texts = [r["text"].encode() for r in got]
-    return learn(texts, y, float(share))
+    return learn_cut([[s.split(b" ") for s in bytes(r["cut"]).split(b"\n") if s] for r in got], [int(r["fp"]) for r in got], [r["y"] for r in got], share)
 
 
-def unlike(texts: list[bytes], within: int = 12) -> list[int]:
+def unlike(fps: list[int], within: int = 12) -> list[int]:
     """Places of texts that are no near copies of earlier ones, by 64-bit fingerprints of the (bounded) sample: the
     words of a text that was copied would else look common to many toxic documents."""
-    fps = np.array([fingerprint(t) for t in texts], np.uint64)
+    f = np.array(fps, np.uint64)
     kept: list[int] = []
-    for i in range(len(fps)):
-        if not len(kept) or int(np.bitwise_count(fps[kept] ^ fps[i]).min()) > within:
+    for i in range(len(f)):
+        if not len(kept) or int(np.bitwise_count(f[kept] ^ f[i]).min()) > within:
             kept.append(i)
     return kept
 
 
 def learn(texts: list[bytes], y: list[int], share: float) -> Field:
-    apart = unlike(texts)
-    texts, y = [texts[i] for i in apart], [y[i] for i in apart]
+    return learn_cut([segments(tokens(t)) for t in texts], [fingerprint(t) for t in texts], y, share)
+
+
+def learn_cut(docs: list[list[list[bytes]]], fps: list[int], y: list[int], share: float | None) -> Field:
+    """share: of label 1 among all labelled rows."""
+    apart = unlike(fps)
+    docs, y = [docs[i] for i in apart], [y[i] for i in apart]
     if len(set(y)) < 2:
         return Field(constant=0.5 if not y else float(y[0]))
-    words = [tokens(t) for t in texts]
-    part = np.arange(len(y)) % 2
-
-    def one(pick: list[int]) -> Field:
-        bad = toxic_keys([set(words[i]) for i in pick], [y[i] for i in pick])
-        with_, without = [], []
-        for i in pick:
-            for at in range(0, len(words[i]), SEGMENT):
-                seg = words[i][at : at + SEGMENT]
-                tag = [int(y[i] and any(k in bad for k in keys(w))) for w in seg]
-                (with_ if any(tag) else without).append((seg, tag))
-        # evenly spread over the documents
-        take = lambda x, n: [x[j] for j in np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)] if x else []
-        with_ = take(with_, SEGMENTS // 3)
-        segs = with_ + take(without, SEGMENTS - len(with_))
-        return fit_field([[features(w) for w in s] for s, _ in segs], [t for _, t in segs])
-
+    yy, part = np.array(y), np.arange(len(y)) % 2
+    one = lambda pick: fit_field([docs[i] for i in pick], yy[pick])
     # scores are turned to probabilities on documents that the tagger has not learned from
     raw = np.full(len(y), -20.0)
     for k in (0, 1):
-        tag = Tagger(one(np.flatnonzero(part != k).tolist()))
-        for i in np.flatnonzero(part == k).tolist():
-            raw[i] = tag.raw(tag.marginals([texts[i]])[0])
-    yy = np.array(y, float)
+        tag, own = Tagger(one(np.flatnonzero(part != k))), np.flatnonzero(part == k)
+        for i, p in zip(own, tag.marginals([b" ".join(w for s in docs[i] for w in s) for i in own]), strict=True):
+            raw[i] = tag.raw(p)
     weight = np.where(yy > 0, share / max(1, yy.sum()), (1 - share) / max(1, (1 - yy).sum())) * len(yy)
-    out = one(list(range(len(y))))
-    out.a, out.b = logistic(raw, yy, weight)
+    out = one(np.arange(len(y)))
+    out.a, out.b = logistic(raw, yy.astype(float), weight)
     return out
 
 
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, spans) of each row. Null, empty and wordless texts have the lowest score and no spans."""
+    """(doc_id, score, spans) of each row. Null, empty and wordless texts have the lowest score and no spans; repeated
+    rows and null ids are rows like others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))

@@ -222,3 +222,61 @@ def test_bytes_that_are_no_text():
     bad = b"ab \xff\xc3 \xe6\xbc\xa2 z"
     assert isoforest.statistics(bad)[:2] == (4, 6)
     assert langzip.Model({"a": b"x "}).predict(bad)[0] == "a" and len(crf.tokens(bad)) == 4
+
+
+def test_field_gradient_is_exact():
+    """Against sums over all paths, and differences of the likelihood."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    lens, doc, y, weight = np.array([4, 3, 3, 1]), np.array([0, 1, 0, 2]), np.array([1, 0, 1]), np.array([0.5, 1.0, 0.7])
+    live = np.array([(lens > j).sum() for j in range(4)])
+    e, t, start = rng.normal(-1, 1, (4, 4)), rng.normal(0, 1, (2, 2)), -0.7
+
+    def slow(e, t, start):
+        clean = np.ones(3)
+        for c in range(4):
+            each = {s: np.exp(start * s[0] + sum(e[j, c] * s[j] for j in range(lens[c])) + sum(t[s[j - 1], s[j]] for j in range(1, lens[c]))) for s in itertools.product((0, 1), repeat=int(lens[c]))}
+            clean[doc[c]] *= each[(0,) * int(lens[c])] / sum(each.values())
+        return (weight * np.where(y == 1, np.log(1 - clean), np.log(clean))).sum()
+
+    toxic, moves, first, value = crf.gradient(t, start, e, lens, live, doc, y, weight)
+    assert abs(value - slow(e, t, start)) < 1e-9
+    h = 1e-6
+    for j in range(4):
+        for c in range(4):
+            up, down = e.copy(), e.copy()
+            up[j, c] += h
+            down[j, c] -= h
+            want = (slow(up, t, start) - slow(down, t, start)) / 2 / h if j < lens[c] else 0.0
+            assert abs(toxic[j, c] - want) < 1e-5
+    for x in (0, 1):
+        for k in (0, 1):
+            up, down = t.copy(), t.copy()
+            up[x, k] += h
+            down[x, k] -= h
+            assert abs(moves[x, k] - (slow(e, up, start) - slow(e, down, start)) / 2 / h) < 1e-5
+    assert abs(first - (slow(e, t, start + h) - slow(e, t, start - h)) / 2 / h) < 1e-5
+
+
+def test_toxicity_held_out(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    got = crf.toxicity(d, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
+    assert (got["predicted"] == got["toxic"]).mean() >= 0.9
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Every toxic text is over 300,000 bytes; a part of each is seen, none is left out."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = rnd.choices(base, k=90_000 if i % 2 else 80)
+        if i % 2:
+            w[::40] = ["vile"] * len(w[::40])
+        rows.append((i, " ".join(w), i % 2))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = crf.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.lit(True))
+    (p,) = crf.Tagger(m).marginals([b"w1 w2 vile w3 w4"])
+    assert p[2] > 0.5 and max(p[[0, 1, 3, 4]]) < 0.1
+    assert max(len(s) for s in crf.segments([b"a"] * 100_000)) == crf.SEGMENT and sum(map(len, crf.segments([b"a"] * 100_000))) <= crf.MOST
