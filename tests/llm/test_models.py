@@ -273,7 +273,7 @@ def test_long_labelled_texts_are_learned_from(spark):
     for i in range(60):
         w = rnd.choices(base, k=90_000 if i % 2 else 80)
         if i % 2:
-            w[::40] = ["vile"] * len(w[::40])
+            w[::1500] = ["vile"] * len(w[::1500])
         rows.append((i, " ".join(w), i % 2))
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     m = crf.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.lit(True))
