@@ -33,7 +33,7 @@ def tag_fit(t):
 _POOL = "p_partkey, p_size, p_partkey % 12 + 1 AS n, p_partkey % 5 < 3 AS minor, p_partkey % 6 AS rating, p_name, p_type"
 
 
-@query("score_candidates", "G4 G5 G6", f"""WITH c AS (SELECT {_POOL} FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT p_partkey, 2 * (1 - abs(p_size - 30.0) / 30 / 0.5) + 2.5 * {_FIT.format(n1='3', n2='n', m1='true', m2='minor')} + 4 * rating / 5.0 + 3 * list_contains(string_split(p_name, ' '), 'blue')::INT AS score FROM c WHERE 1 - abs(p_size - 30.0) / 30 / 0.5 >= 0)
+@query("score_candidates", "G6 G4", f"""WITH c AS (SELECT {_POOL} FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT p_partkey, 2 * (1 - abs(p_size - 30.0) / 30 / 0.5) + 2.5 * {_FIT.format(n1='3', n2='n', m1='true', m2='minor')} + 4 * rating / 5.0 + 3 * list_contains(string_split(p_name, ' '), 'blue')::INT AS score FROM c WHERE 1 - abs(p_size - 30.0) / 30 / 0.5 >= 0)
        SELECT p_partkey, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, p_partkey LIMIT 25""")
 def score_candidates(t):
     p = t.part.withColumns({"n": F.col("p_partkey") % 12 + 1, "minor": F.col("p_partkey") % 5 < 3, "rating": F.col("p_partkey") % 6})
@@ -48,12 +48,30 @@ def playlist_greedy(t):
     return K.playlists(p, "p_type", "p_partkey", "p_size", "n", "minor", "rating", "tags", "p_partkey", count=12, start=20.0, end=40.0, tolerance=0.1, want=["blue"])
 
 
-@query("playlist_seeded", "G4 G5 G7 T5")
+@query("playlist_seeded", "G4 T5")
 def playlist_seeded(t):
     p = t.part.withColumns({"n": F.col("p_partkey") % 12 + 1, "minor": F.col("p_partkey") % 5 < 3, "rating": F.col("p_partkey") % 6, "tags": F.split("p_name", " ")})
     return K.playlists(p, "p_type", "p_partkey", "p_size", "n", "minor", "rating", "tags", "p_partkey", count=10, start=20.0, end=40.0, tolerance=0.1, want=["blue"], randomness=0.7, seed=42)
 
 
+_U32 = "4294967296"
+_DRAW = f"""(SELECT xor(u, u >> 14) / {_U32}.0 FROM (SELECT xor(t, (t + ((((x2 >> 16) * y2) % {_U32}) * 65536 + (x2 & 65535) * y2) % {_U32}) % {_U32}) AS u FROM (SELECT t, xor(t, t >> 7) AS x2, t | 61 AS y2 FROM (SELECT ((((x >> 16) * y) % {_U32}) * 65536 + (x & 65535) * y) % {_U32} AS t FROM (SELECT xor(a, a >> 15) AS x, a | 1 AS y FROM (SELECT (seed + turn * 1831565813) % {_U32} AS a))))))"""
+
+
+@query("slot_reroll", "G5 G1 G2", f"""WITH p AS (SELECT p_type, p_partkey AS id, p_size::DOUBLE AS bpm, p_partkey % 12 + 1 AS n, p_partkey % 5 < 3 AS minor, 0.8 * (p_partkey % 6) AS points FROM part),
+       f AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY id) AS i FROM p), l AS (SELECT p_type, list(id ORDER BY id) AS slots FROM f WHERE i <= 5 GROUP BY p_type HAVING count(*) = 5),
+       b AS (SELECT l.p_type, slots, x.n AS bn, x.minor AS bm, y.n AS an, y.minor AS am FROM l JOIN p x ON x.p_type = l.p_type AND x.id = slots[2] JOIN p y ON y.p_type = l.p_type AND y.id = slots[4]),
+       s AS (SELECT p.p_type, p.id, row_number() OVER (PARTITION BY p.p_type ORDER BY p.id) AS turn, 42 + 2 * 7919 + 5 AS seed, 2 * (1 - abs(bpm - 30) / 30 / 0.3) + 2.5 * ({_FIT.format(n1='bn', n2='n', m1='bm', m2='minor')} + {_FIT.format(n1='n', n2='an', m1='minor', m2='am')}) / 2 + points AS score
+         FROM p JOIN b USING (p_type) WHERE NOT list_contains(slots, p.id) AND 1 - abs(bpm - 30) / 30 / 0.3 >= 0),
+       d AS (SELECT p_type, id, turn, score + {_DRAW} * 1.1 AS v FROM s)
+       SELECT p_type, id FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY v DESC, turn) AS k FROM d) WHERE k = 1""")
+def slot_reroll(t):
+    p = t.part.select("p_type", F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("bpm"), (F.col("p_partkey") % 12 + 1).alias("n"), (F.col("p_partkey") % 5 < 3).alias("minor"), K.points(F.col("p_partkey") % 6, F.array(), []).alias("points"), F.col("p_partkey").alias("o"))
+    first = p.withColumn("i", F.row_number().over(W.partitionBy("p_type").orderBy("id"))).where("i <= 5")
+    lists = first.groupBy("p_type").agg(F.array_sort(F.collect_list("id")).alias("slots")).where("size(slots) = 5").withColumns({"at": F.lit(2), "target": F.lit(30.0)})
+    return K.rerolled(lists, p, "p_type", seed=42, tolerance=0.2, randomness=0.5)
+
+
 @query("record_pool", "M28 G7", "SELECT l_orderkey AS record, p_partkey AS song, 'song' AS kind FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey <= 50) JOIN part ON p_partkey = l_partkey UNION ALL SELECT NULL, p_partkey, 'library' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey <= 50) AND p_size = 50")
 def record_pool(t):
     return _record_pool(t, t.lineitem.where("l_orderkey <= 50"), t.part.where("p_size = 50"))
