@@ -84,7 +84,17 @@ def _song(d, id_col, title, artist, length):
     return d.select(F.col(id_col).alias("id"), F.struct(name.alias("title"), F.replace(name, F.lit(" "), F.lit("")).alias("joined"), X.words(name).alias("words"), F.lit("").alias("file"), X.song_name(artist).alias("artist"), X.artists(artist).alias("artists"), X.words(X.song_name(artist)).alias("artist_words"), F.lit("").alias("album"), X.version(title).alias("version"), length.cast("double").alias("duration"), F.lit(0).alias("size")).alias("s"))
 
 
-@query("relink_scored", "J11 J12 W10 W11 M15 M29")
+@query("relink_scored", "J11 J12 W10 W11 M15 M29", """WITH p AS (SELECT p_partkey AS id, p_name AS title, replace(p_name, ' ', '') AS joined, list_distinct(list_filter(string_split(p_name, ' '), lambda w: length(w) > 1)) AS words, replace(lower(p_brand), '#', ' ') AS brand, p_size AS d FROM part),
+       o AS (SELECT * FROM p WHERE id % 10 = 0), c AS (SELECT * FROM p WHERE id % 10 <> 0), cw AS (SELECT id, unnest(words) AS w FROM c), n AS (SELECT w, count(*) AS n FROM cw GROUP BY w),
+       r AS (SELECT id, min_by(w, (n, w)) AS w FROM (SELECT id, unnest(words) AS w FROM o) JOIN n USING (w) GROUP BY id),
+       b AS (SELECT r.id AS o, cw.id AS c FROM r JOIN cw USING (w) UNION SELECT o.id, c.id FROM o JOIN c USING (joined)),
+       f AS (SELECT o.id AS o, c.id AS c, o.title AS ot, c.title AS ct, o.joined AS oj, c.joined AS cj, o.brand AS ob, c.brand AS cb, list_filter(string_split(o.brand, ' '), lambda w: length(w) > 1) AS bw, list_filter(string_split(c.brand || ' friends', ' '), lambda w: length(w) > 1) AS dw, abs(o.d - c.d) AS d, o.d > 0 AND c.d > 0 AS known, len(list_intersect(o.words, c.words)) / greatest(len(o.words), len(c.words)) AS share FROM b JOIN o ON o.id = b.o JOIN c ON c.id = b.c),
+       g AS (SELECT o, c, CASE WHEN ot = ct OR (oj = cj AND length(oj) >= 4) THEN 45 WHEN least(length(ot), length(ct)) >= 4 AND (contains(ot, ct) OR contains(ct, ot)) THEN 30 WHEN share >= 0.6 THEN floor(25 * share + 0.5) END AS t,
+         CASE WHEN ob = cb OR contains(cb || ' friends', ob) OR len(list_intersect(bw, dw)) / greatest(len(bw), len(dw)) >= 0.5 THEN 15 ELSE -15 END AS a,
+         CASE WHEN NOT known THEN 6 WHEN d <= 1.5 THEN 20 WHEN d <= 3 THEN 14 WHEN d <= 6 THEN 5 WHEN d <= 20 THEN -25 ELSE -50 END AS l FROM f),
+       s AS (SELECT o, c, greatest(0, least(100, t + a + l))::INT AS sure FROM g WHERE t IS NOT NULL),
+       k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY sure DESC, c) AS rank FROM s WHERE sure >= 50), z AS (SELECT *, sure - lead(sure) OVER (PARTITION BY o ORDER BY rank) AS gap FROM k WHERE rank <= 3)
+       SELECT o, c, CASE WHEN rank = 1 AND gap <= 3 THEN greatest(0, sure - 10) ELSE sure END::INT AS sure, rank::INT AS rank FROM z""")
 def relink_scored(t):
     p = t.part
     old = _song(p.where("p_partkey % 10 = 0"), "p_partkey", F.concat("p_name", F.lit(" (Album Version)")), F.col("p_brand"), F.col("p_size")).withColumnRenamed("id", "o").withColumnRenamed("s", "so")
@@ -121,21 +131,27 @@ def _words(t):
     return t.embeddings.select("vec_id", F.array(word(0), word(32)).alias("words"))
 
 
-@query("near_duplicates", "J14 D7", """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings), v AS (SELECT vec_id, list_reduce(list_transform(b[1:32], lambda x: x::BIGINT), lambda s, x: s * 2 + x) AS w1, list_reduce(list_transform(b[33:64], lambda x: x::BIGINT), lambda s, x: s * 2 + x) AS w2 FROM w),
+_PIECES = """w AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings), v AS (SELECT vec_id, list_reduce(list_transform(b[1:32], lambda x: x::BIGINT), lambda s, x: s * 2 + x) AS w1, list_reduce(list_transform(b[33:64], lambda x: x::BIGINT), lambda s, x: s * 2 + x) AS w2 FROM w),
        p AS (SELECT vec_id, w1 & 65535 AS key, 0 AS pos FROM v UNION ALL SELECT vec_id, (w1 >> 16) + 65536, 0 FROM v UNION ALL SELECT vec_id, w2 & 65535, 1 FROM v UNION ALL SELECT vec_id, (w2 >> 16) + 65536, 1 FROM v),
-       k AS (SELECT key FROM p GROUP BY key HAVING count(*) BETWEEN 2 AND 60), q AS (SELECT p.* FROM p JOIN k USING (key))
-       SELECT a.vec_id AS a, b.vec_id AS b, b.pos - a.pos AS off, count(*) AS n FROM q a JOIN q b ON a.key = b.key AND a.vec_id < b.vec_id GROUP BY 1, 2, 3""")
+       k AS (SELECT key FROM p GROUP BY key HAVING count(*) BETWEEN 2 AND 60), q AS (SELECT p.* FROM p JOIN k USING (key)),
+       m AS (SELECT a.vec_id AS a, b.vec_id AS b, b.pos - a.pos AS off, count(*) AS n FROM q a JOIN q b ON a.key = b.key AND a.vec_id < b.vec_id GROUP BY 1, 2, 3)"""
+
+
+@query("near_duplicates", "J14 D7", f"WITH {_PIECES} SELECT * FROM m")
 def near_duplicates(t):
     return D.votes(D.pieces(_words(t), "vec_id", "words")).select("a", "b", F.col("off").cast("int").alias("off"), "n")
 
 
-@query("confirmed_matches", "J14 D7")
+@query("confirmed_matches", "J14 D7", f"""WITH {_PIECES}, s AS (SELECT *, sum(n) OVER (PARTITION BY a, b ORDER BY off RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS pool FROM m),
+       r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY pool DESC, off) AS i FROM s), c AS (SELECT DISTINCT a, b, off + d AS off FROM r, range(-2, 3) x(d) WHERE i <= 3 AND abs(off + d) <= 1),
+       e AS (SELECT c.a, c.b, c.off, 2 - abs(c.off) AS frames, CASE c.off WHEN 0 THEN (bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2))) / 64.0 WHEN 1 THEN bit_count(xor(x.w1, y.w2)) / 32.0 ELSE bit_count(xor(x.w2, y.w1)) / 32.0 END AS ber FROM c JOIN v x ON x.vec_id = c.a JOIN v y ON y.vec_id = c.b)
+       SELECT a, b, ber, off, frames FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY ber, off, frames) AS k FROM e) WHERE k = 1 AND ber <= 0.3""")
 def confirmed_matches(t):
     fps = _words(t)
     return D.confirmed(D.votes(D.pieces(fps, "vec_id", "words")), fps, "vec_id", "words", least_votes=1, least_words=1)
 
 
-@query("incremental_matches", "J15")
+@query("incremental_matches", "J15", f"WITH {_PIECES} SELECT * FROM m WHERE a % 10 = 0 OR b % 10 = 0")
 def incremental_matches(t):
     fps = _words(t)
     return D.votes(D.pieces(fps, "vec_id", "words"), fresh=fps.where("vec_id % 10 = 0").select("vec_id"))

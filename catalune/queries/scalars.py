@@ -184,7 +184,18 @@ def fold_names(t):
     return t.documents.select("doc_id", X.fold(F.get(F.split("text", "\n"), F.lit(0))).alias("folded"))
 
 
-@query("song_names", "P18 P19 P20")
+_KINDS = "instrumental|inst|a ?cappella|acappella|live|unplugged|remix|dub|acoustic|demo|extended|radio edit|radio version|edit|clean version|clean"
+
+
+@query(
+    "song_names", "P18 P19 P20",
+    rf"""WITH n AS (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN ' (Album Version)' WHEN 1 THEN ' [X 01]' WHEN 2 THEN ' (Live at Hyde Park)' WHEN 3 THEN ' feat. Someone (Remix)' WHEN 4 THEN ' - Radio Edit' ELSE '' END AS name FROM part),
+       c AS (SELECT *, regexp_replace(lower(name), '\b(feat|ft|featuring)\b\.?[^()\[\]]*', ' ', 'g') AS t FROM n),
+       b AS (SELECT *, regexp_replace(regexp_replace(t, '\[[^\]]*\]', ' ', 'g'), '\(\s*((album|version|original|mix|{_KINDS}|[0-9]+)\s*)*\)', ' ', 'g') AS s, regexp_replace(t, '\([^)]*\)|\[[^\]]*\]', ' ', 'g') AS r FROM c),
+       m AS (SELECT p_partkey, unnest(regexp_extract_all(concat_ws(' ', regexp_extract(lower(name), '\(([^)]*)\)', 1), string_split(lower(name), ' - ')[2], 'live'), '\b({_KINDS})\b', 1)) AS w FROM n),
+       v AS (SELECT p_partkey, string_agg(DISTINCT w, ',' ORDER BY w) AS version FROM (SELECT p_partkey, CASE w WHEN 'radio edit' THEN 'edit' WHEN 'inst' THEN 'instrumental' ELSE w END AS w FROM m) GROUP BY p_partkey)
+       SELECT p_partkey, name, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS song, trim(regexp_replace(r, '[^a-z0-9]+', ' ', 'g')) AS bare, version FROM b JOIN v USING (p_partkey)""",
+)
 def song_names(t):
     name = F.concat("p_name", F.element_at(F.array(*map(F.lit, [" (Album Version)", " [X 01]", " (Live at Hyde Park)", " feat. Someone (Remix)", " - Radio Edit", ""])), (F.col("p_partkey") % 6 + 1).cast("int")))
     d = t.part.select("p_partkey", name.alias("name"))
