@@ -67,17 +67,17 @@ def audio_headers(spark: SparkSession, root: str) -> DataFrame:
     """path and what its header says: container, codec, rate, bits, channels, seconds, tags, clues."""
     from catalune.sources.audio import clues, header
 
-    schema = pa.schema([("path", pa.string()), ("container", pa.string()), ("codec", pa.string()), ("rate", pa.int32()), ("bits", pa.int32()), ("channels", pa.int32()), ("seconds", pa.float64()), ("tags", pa.map_(pa.string(), pa.string())), ("clues", pa.list_(pa.string()))])
+    schema = pa.schema([("path", pa.string()), ("container", pa.string()), ("codec", pa.string()), ("rate", pa.int32()), ("bits", pa.int32()), ("channels", pa.int32()), ("seconds", pa.float64()), ("tags", pa.map_(pa.string(), pa.string())), ("clues", pa.list_(pa.struct([(k, pa.string()) for k in ("kind", "label", "match")])))])
 
     def run(batches):
         for b in batches:
             out = []
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 h = header(bytes(data))
-                out.append({"path": path} | h | {"tags": list(h["tags"].items()), "clues": clues(bytes(data))})
+                out.append({"path": path} | h | {"tags": list(h["tags"].items()), "clues": clues(bytes(data), h)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return files(spark, root).select("path", "content").mapInArrow(run, "path string, container string, codec string, rate int, bits int, channels int, seconds double, tags map<string,string>, clues array<string>")
+    return files(spark, root).select("path", "content").mapInArrow(run, "path string, container string, codec string, rate int, bits int, channels int, seconds double, tags map<string,string>, clues array<struct<kind:string,label:string,match:string>>")
 
 
 def load_shards(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

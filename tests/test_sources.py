@@ -119,7 +119,7 @@ def test_headers(spark, tmp_path):
     (tmp_path / "cut.flac").write_bytes(b"fLaC\0")
     got = {r["path"].rsplit("/", 1)[-1]: r for r in libraries.audio_headers(spark, str(tmp_path)).collect()}
     assert (got["x.wav"]["codec"], got["x.wav"]["rate"], got["x.wav"]["seconds"]) == ("PCM", 8000, 2 / 8000)
-    assert (got["y.flac"]["bits"], got["y.flac"]["channels"], got["y.flac"]["seconds"], got["y.flac"]["tags"], got["y.flac"]["clues"]) == (16, 2, 2.0, {"title": "x"}, ["flac"])
+    assert (got["y.flac"]["bits"], got["y.flac"]["channels"], got["y.flac"]["seconds"], got["y.flac"]["tags"], [tuple(c) for c in got["y.flac"]["clues"]]) == (16, 2, 2.0, {"title": "x"}, [("flac", "libFLAC encoder", "reference libFLAC 1.3.2")])
     assert (got["z.mp3"]["codec"], got["z.mp3"]["rate"], got["z.mp3"]["tags"]) == ("MPEG layer 3", 44100, {"tit2": "Song"})
     assert got["cut.flac"]["rate"] is None
     assert audio.pcm((tmp_path / "x.wav").read_bytes()).tolist() == [[0.5, -0.5], [0.0, 32767 / 32768]]
@@ -137,3 +137,13 @@ def test_store(spark, tmp_path):
     libraries.flush(spark.createDataFrame([("zz2", "new", 3)], good.schema), out)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["ab1", "ab2", "zz2"]
     assert libraries.snapshots_kept([f"2024-01-{d:02d}{x}" for d in range(1, 31) for x in ("a", "b")])[0] == "2024-01-17b"
+
+
+def test_clues():
+    found = lambda b: [(c["kind"], c["match"]) for c in audio.clues(b)]
+    assert found(b"xx Lavf58.29.100 yy Lavc58.54.100 SOUNDCLOUD.COM SoundCloud") == [("stream", "SoundCloud"), ("ffmpeg", "Lavf58.29.100"), ("ffmpeg", "Lavc58.54.100")]
+    assert found(b"\0" * (1 << 20) + b"dBpoweramp" + b"\0" * (1 << 19)) == [] and found(b"\0" * (2 << 20) + b"dBpoweramp") == [("rip", "dBpoweramp")]
+    assert found((24).to_bytes(4, "big") + b"ftypiso6\0\0\0\0dashmp41" + bytes(40)) == [("yt", "ftyp dash")]
+    assert found(b"\x1aE\xdf\xa3....webm A_OPUS") == [("web", "WebM / Opus")]
+    tagged = b"ID3\x03\0\0\0\0\0\x1f" + b"TENC" + (21).to_bytes(4, "big") + b"\0\0\x01" + "Audacity x".encode("utf-16") + b"\xff\xfb\x90\x00" + bytes(412)
+    assert ("tool", "Audacity") in found(tagged)
