@@ -36,14 +36,6 @@ def query(name: str, ops: str, sql: str | None = None):
     return put
 
 
-def whole(name: str, ops: str, part: tuple[str, ...] = (), sql: str | None = None):
-    """Registers f(tables) as ``name_whole``; its SQL is that of ``name`` without the row filters ``part``, or ``sql``."""
-    own = ORACLE[name] if part else sql
-    for p in part:
-        own = own.replace(p, "")
-    return query(f"{name}_whole", ops, own)
-
-
 for _m in MODULES:
     try:
         import_module(f"catalune.queries.{_m}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalune.functions import dates, music
 from catalune.operators import further as U
-from catalune.queries import query, whole
+from catalune.queries import query
 
 
 @query(
@@ -32,9 +32,9 @@ def retry_backoff(t):
     return t.spark.range(1, 15).select(n.alias("n"), U.retry_wait(n).alias("soon"), U.retry_wait(n, "late").alias("late"))
 
 
-@query("retry_states", "C19 F8", "SELECT user_id, cast(count(*) AS INTEGER) AS tries, CASE WHEN max_by(value, event_id) >= 50 THEN 'failed' WHEN count(*) >= 3 THEN 'gave up' ELSE 'waiting' END AS state FROM events WHERE event_type = 'error' AND event_id % 4 = 0 GROUP BY user_id")
+@query("retry_states", "C19 F8", "SELECT user_id, cast(count(*) AS INTEGER) AS tries, CASE WHEN max_by(value, event_id) >= 50 THEN 'failed' WHEN count(*) >= 3 THEN 'gave up' ELSE 'waiting' END AS state FROM events WHERE event_type = 'error' GROUP BY user_id")
 def retry_states(t):
-    return U.retry_state(t.events.where("event_type = 'error' and event_id % 4 = 0"), "user_id", "event_id", F.col("value") < 50)
+    return U.retry_state(t.events.where("event_type = 'error'"), "user_id", "event_id", F.col("value") < 50)
 
 
 @query("text_merge", "P33", "SELECT p_partkey, CASE WHEN contains(p_name, split_part(p_name, ' ', 1)) AND p_partkey % 2 = 0 THEN p_name ELSE p_name || chr(10) || p_brand END AS merged FROM part")
@@ -50,19 +50,10 @@ def order_clashes(t):
     return l.select("n_regionkey", U.order_clash(F.col("b"), F.reverse("b"), F.when(F.col("n_regionkey") % 2 == 1, swapped).otherwise(F.col("b"))).alias("clash"))
 
 
-@query("download_plan", "S21 M18", """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_orderkey % 10 = 0)
+@query("download_plan", "S21 M18", """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem)
        SELECT l_orderkey, lpad(cast(n AS VARCHAR), cast(greatest(2, length(cast(c AS VARCHAR))) AS INTEGER), '0') || ' ' || p_name || '.bin' AS file FROM r JOIN part ON p_partkey = l_partkey""")
 def download_plan(t):
-    return _download_plan(t, t.lineitem.where("l_orderkey % 10 = 0"))
-
-
-@whole("download_plan", "S21 M18", (" WHERE l_orderkey % 10 = 0",))
-def download_plan_whole(t):
-    return _download_plan(t, t.lineitem)
-
-
-def _download_plan(t, lineitem):
-    d = lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return U.download_plan(d, "l_orderkey", F.col("p_name"), F.lit(".bin"), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]).select("l_orderkey", "file")
 
 

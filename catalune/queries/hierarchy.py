@@ -6,24 +6,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalune.operators import graphs as G
-from catalune.queries import query, whole
+from catalune.queries import query
 
 _NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
-       UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'x1', 'x2', 'loop' UNION ALL SELECT 'x2', 'x1', 'loop')"""
+       UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer UNION ALL SELECT 'x1', 'x2', 'loop' UNION ALL SELECT 'x2', 'x1', 'loop')"""
 _WALK = f"""WITH RECURSIVE {_NODES}, s AS (SELECT *, lpad(cast(row_number() OVER (PARTITION BY parent ORDER BY name, id) AS VARCHAR), 9, '0') AS n FROM nodes),
        w AS (SELECT id, 0 AS depth, n AS path, name FROM s WHERE parent IS NULL UNION ALL SELECT s.id, depth + 1, path || '/' || s.n, s.name FROM w JOIN s ON s.parent = w.id)"""
 _CLOSURE = f"""WITH RECURSIVE {_NODES}, c AS (SELECT id AS ancestor, id, 0 AS depth FROM nodes UNION ALL SELECT nodes.parent, c.id, depth + 1 FROM c JOIN nodes ON nodes.id = c.ancestor WHERE nodes.parent IS NOT NULL AND nodes.parent <> c.id AND depth < 8)"""
 
 
-_FIRST = " WHERE c_custkey <= 300"
-
-
 def _trees(name, ops, sql):
-    """Registers f(t, nodes) over the whole customer table as ``name_whole``, and over the first 300 as its older SQL has it."""
+    """Registers f(t, nodes) over all regions, nations and customers, and a loop of two."""
 
     def put(f):
-        query(name, ops, sql)(lambda t: f(t, _nodes(t, t.customer.where("c_custkey <= 300"))))
-        query(f"{name}_whole", ops, sql.replace(_FIRST, ""))(lambda t: f(t, _nodes(t, t.customer)))
+        query(name, ops, sql)(lambda t: f(t, _nodes(t, t.customer)))
         return f
 
     return put
@@ -75,19 +71,10 @@ def sibling_positions(t):
     return t.nation.select("n_nationkey", (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_name")) - 1).cast("long").alias("position"))
 
 
-@query("folder_items", "U6 J5 H9", """WITH o AS (SELECT n_regionkey AS folder, o_orderkey, l_partkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 450000)
+@query("folder_items", "U6 J5 H9", """WITH o AS (SELECT n_regionkey AS folder, o_orderkey, l_partkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN lineitem ON l_orderkey = o_orderkey)
        SELECT folder, l_partkey, min(o_orderkey) AS first, count(DISTINCT o_orderkey) AS lists FROM o GROUP BY 1, 2""")
 def folder_items(t):
-    return _folder_items(t, t.orders.where("o_totalprice > 450000"))
-
-
-@whole("folder_items", "U6 J5 H9", (" WHERE o_totalprice > 450000",))
-def folder_items_whole(t):
-    return _folder_items(t, t.orders)
-
-
-def _folder_items(t, orders):
-    o = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every scale
     d = o.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return d.groupBy(F.col("n_regionkey").alias("folder"), "l_partkey").agg(F.min("o_orderkey").alias("first"), F.count_distinct("o_orderkey").alias("lists"))
 

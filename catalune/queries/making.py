@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalune.functions import music as M
 from catalune.operators import making as K
-from catalune.queries import query, whole
+from catalune.queries import query
 
 _FIT = """CASE WHEN {m1} = {m2} THEN CASE WHEN least((({n2} - {n1}) % 12 + 12) % 12, 12 - (({n2} - {n1}) % 12 + 12) % 12) = 0 THEN 1.0 WHEN least((({n2} - {n1}) % 12 + 12) % 12, 12 - (({n2} - {n1}) % 12 + 12) % 12) = 1 THEN 0.9 WHEN (({n2} - {n1}) % 12 + 12) % 12 = 2 THEN 0.5 ELSE 0.0 END
        WHEN (({n2} - {n1}) % 12 + 12) % 12 = 0 THEN 0.85 ELSE 0.0 END"""
@@ -72,20 +72,11 @@ def slot_reroll(t):
     return K.rerolled(lists, p, "p_type", seed=42, tolerance=0.2, randomness=0.5)
 
 
-@query("record_pool", "M28 G7", "SELECT l_orderkey AS record, p_partkey AS song, 'song' AS kind FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey <= 50) JOIN part ON p_partkey = l_partkey UNION ALL SELECT NULL, p_partkey, 'library' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey <= 50) AND p_size = 50")
+@query("record_pool", "M28 G7", "SELECT l_orderkey AS record, p_partkey AS song, 'song' AS kind FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey UNION ALL SELECT NULL, p_partkey, 'library' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def record_pool(t):
-    return _record_pool(t, t.lineitem.where("l_orderkey <= 50"), t.part.where("p_size = 50"))
-
-
-@whole("record_pool", "M28 G7", (" WHERE l_orderkey <= 50", " AND p_size = 50"))
-def record_pool_whole(t):
-    return _record_pool(t, t.lineitem, t.part)
-
-
-def _record_pool(t, lineitem, library):
-    own = lineitem.select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("song")).distinct()
+    own = t.lineitem.select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("song")).distinct()
     on = own.join(t.part.select(F.col("p_partkey").alias("song")), "song").select("record", "song", F.lit("song").alias("kind"))
-    rest = library.select(F.lit(None).cast("long").alias("record"), F.col("p_partkey").alias("song"), F.lit("library").alias("kind")).join(own.select("song"), "song", "left_anti")
+    rest = t.part.select(F.lit(None).cast("long").alias("record"), F.col("p_partkey").alias("song"), F.lit("library").alias("kind")).join(own.select("song"), "song", "left_anti")
     return on.unionByName(rest.select("record", "song", "kind"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalune.functions import text as X
 from catalune.operators import duplicates as D
 from catalune.operators import matching as J
-from catalune.queries import query, whole
+from catalune.queries import query
 
 ALL = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _ALL = ", ".join(ALL)
@@ -166,15 +166,8 @@ def bit_error_rate(t):
     return e.join(first, "label").select("vec_id", ber.alias("ber"))
 
 
-@query("components", "J16", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey - 7 AS b FROM orders WHERE o_totalprice > 480000 AND o_custkey > 7), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-       r AS (SELECT x AS node, x AS y FROM n UNION SELECT r.node, n.y FROM r JOIN n ON n.x = r.y) SELECT node, min(y) AS label FROM r GROUP BY node""")
+@query("components", "J16")
 def components(t):
-    e = t.orders.where("o_totalprice > 480000 and o_custkey > 7").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - 7).alias("b"))
-    return D.groups(e)
-
-
-@whole("components", "J16")
-def components_whole(t):
     e = t.orders.where("o_custkey > 7").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - 7).alias("b"))
     return D.groups(e)
 

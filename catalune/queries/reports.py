@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalune.operators import facets, reports
-from catalune.queries import query, whole
+from catalune.queries import query
 
 
 @query("value_counts_ci", "A1", """WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE ' ' || p_name END AS v FROM part WHERE p_partkey % 11 <> 0)
@@ -33,14 +33,9 @@ def collection_stats(t):
     )
 
 
-@query("histogram_steps", "A5", """WITH b AS (SELECT cast(floor(o_totalprice / 5000) * 5000 AS BIGINT) AS f, count(*) AS n FROM orders WHERE o_totalprice > 0 AND o_orderkey % 50 = 0 GROUP BY 1)
+@query("histogram_steps", "A5", """WITH b AS (SELECT cast(floor(o_totalprice / 5000) * 5000 AS BIGINT) AS f, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1)
        SELECT s.f AS "from", coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(f) FROM b), (SELECT max(f) FROM b) + 1, 5000)) AS f) s LEFT JOIN b USING (f)""")
 def histogram_steps(t):
-    return reports.histogram(t.orders.where("o_orderkey % 50 = 0"), F.col("o_totalprice"), 5000)
-
-
-@whole("histogram_steps", "A5", (" AND o_orderkey % 50 = 0",))
-def histogram_steps_whole(t):
     return reports.histogram(t.orders, F.col("o_totalprice"), 5000)
 
 
@@ -123,17 +118,9 @@ def rule_values(t):
     return reports.distinct_per_row(t.part, "p_partkey", vals, ["PROMO"])
 
 
-@query("seed_profile", "A16", """SELECT p_type, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS words, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 4) AS price FROM part WHERE p_partkey <= 300 GROUP BY p_type""")
+@query("seed_profile", "A16", """SELECT p_type, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS words, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 4) AS price FROM part GROUP BY p_type""")
 def seed_profile(t):
-    return _seed_profile(t.part.where("p_partkey <= 300"))
-
-
-@whole("seed_profile", "A16", (" WHERE p_partkey <= 300",))
-def seed_profile_whole(t):
-    return _seed_profile(t.part)
-
-
-def _seed_profile(d):
+    d = t.part
     words = d.select("p_type", F.explode(F.split("p_name", " ")).alias("w")).groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("words"))
     return d.groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("size"), F.round(F.avg("p_retailprice"), 4).alias("price")).join(words, "p_type").select("p_type", "words", "size", "price")
 

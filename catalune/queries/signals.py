@@ -46,10 +46,10 @@ def spectrum_peaks(t):
 
 @query("tempo_and_key", "D3 D4 D5")
 def tempo_and_key(t):
-    return S.analysed(S.tones(t.nation.where("n_nationkey < 6").select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), (90 + F.col("n_nationkey") * 12).cast("double").alias("bpm")))).select("id", F.round("bpm", 2).alias("bpm"), "tonic", "minor")
+    return S.analysed(S.tones(t.nation.select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), (90 + F.col("n_nationkey") * 12).cast("double").alias("bpm")))).select("id", F.round("bpm", 2).alias("bpm"), "tonic", "minor")
 
 
 @query("sound_fingerprints", "D6 S22")
 def sound_fingerprints(t):
-    d = S.tones(t.nation.where("n_nationkey < 6").select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), F.lit(120.0).alias("bpm")))
+    d = S.tones(t.nation.select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), F.lit(120.0).alias("bpm")))
     return S.fingerprints(d).select("id", F.size("words").alias("n"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w)).alias("mix"))

@@ -268,7 +268,7 @@ def test_trees_hold_all_customers(spark):
     chain = lambda x: [x, *(chain(up[x][0]) if up[x][0] else [])]
     loop = {("x1", "x1"), ("x1", "x2"), ("x2", "x1"), ("x2", "x2")}
     pairs = {(a, x) for x in up for a in chain(x)} | loop
-    got = lambda name: [tuple(r) for r in QUERIES[f"{name}_whole"](spark, sf).collect()]
+    got = lambda name: [tuple(r) for r in QUERIES[name](spark, sf).collect()]
     assert sorted((i, d) for i, d, _ in got("tree_walk")) == sorted((x, len(chain(x)) - 1) for x in up)
     assert dict(got("ancestor_paths")) == {x: " / ".join(up[a][1] for a in reversed(chain(x))) for x in up}
     assert sorted(got("descendants")) == sorted((x,) for a, x in pairs if a == "r2")
@@ -282,7 +282,7 @@ def test_whole_queries_hold_all_rows(spark):
 
     sf = "/root/testdata/sf0.001"
     at = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").collect()
-    got = lambda name: QUERIES[f"{name}_whole"](spark, sf)
+    got = lambda name: QUERIES[name](spark, sf)
     orders, lines, parts = at("orders"), at("lineitem"), at("part")
     assert got("histogram_steps").agg(F.sum("n")).first()[0] == sum(r["o_totalprice"] > 0 for r in orders)
     assert got("download_plan").count() == len(lines)
