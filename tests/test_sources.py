@@ -147,3 +147,22 @@ def test_clues():
     assert found(b"\x1aE\xdf\xa3....webm A_OPUS") == [("web", "WebM / Opus")]
     tagged = b"ID3\x03\0\0\0\0\0\x1f" + b"TENC" + (21).to_bytes(4, "big") + b"\0\0\x01" + "Audacity x".encode("utf-16") + b"\xff\xfb\x90\x00" + bytes(412)
     assert ("tool", "Audacity") in found(tagged)
+
+
+def test_follow(spark, tmp_path):
+    import os
+
+    from catalune.sources.follow import look
+
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    names = lambda d: sorted(r["path"].rsplit("/", 1)[-1] for r in d.collect())
+    changed, gone, seen = look(spark, str(tmp_path))
+    assert names(changed) == ["a", "b", "c"] and names(gone) == []
+    os.utime(tmp_path / "a", (1, 1))  # another time, the same content: no change
+    (tmp_path / "b").write_text("new")
+    (tmp_path / "c").unlink()
+    changed, gone, seen = look(spark, str(tmp_path), seen)
+    assert names(changed) == ["b"] and names(gone) == ["c"] and names(seen) == ["a", "b"]
+    changed, gone, _ = look(spark, str(tmp_path), seen)
+    assert names(changed) == names(gone) == []
