@@ -101,14 +101,30 @@ def tempo(env: np.ndarray, fps: float, low: float = 60, high: float = 200, prior
     return float(60 * fps / (lags[i] + np.clip(shift, -0.5, 0.5)))
 
 
+def tonal_peaks(mag: np.ndarray, rate: int, size: int, low: float = 55, high: float = 4200) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and heights of the frames' spectral peaks, placed between bins by a parabola."""
+    m = np.maximum(mag, 1e-12)
+    a, b, c = m[:, :-2], m[:, 1:-1], m[:, 2:]
+    k = np.arange(1, m.shape[1] - 1)
+    on = (b > a) & (b >= c) & (b > 1e-3 * size) & (k * rate / size >= low) & (k * rate / size <= high)
+    bend = np.where(on, a - 2 * b + c, -1.0)
+    return ((k + 0.5 * (a - c) / np.where(bend == 0, -1e-12, bend)) * rate / size)[on], b[on]
+
+
 def key_of(mag: np.ndarray, rate: int, size: int) -> tuple[int, bool] | None:
-    """Tonic (0 = C) and whether minor: the profile that goes best with the energy by pitch class."""
-    hz = np.arange(1, mag.shape[1]) * rate / size
-    use = (hz >= 60) & (hz <= 2000)
-    if not len(mag) or not use.any():
+    """Tonic (0 = C) and whether minor: the profile that goes best with the peaks by pitch class.
+
+    How far the peaks lie off the 440 Hz grid, as a mean on the circle of a semitone, tells the tuning; peaks then
+    count by the root of their height, the less the further they are from a note.
+    """
+    hz, height = tonal_peaks(mag, rate, size)
+    if not len(hz):
         return None
-    pitch = np.round(12 * np.log2(hz[use] / 440) + 9).astype(int) % 12
-    chroma = np.bincount(pitch, mag[:, 1:][:, use].sum(0), 12)
+    off = 2j * np.pi * 12 * np.log2(hz / 440)
+    tuning = np.angle((height * np.exp(off)).sum()) / (2 * np.pi)
+    pitch = 12 * np.log2(hz / 440) - tuning + 69
+    near = np.round(pitch)
+    chroma = np.bincount(near.astype(int) % 12, np.sqrt(height) * np.cos(np.pi * (pitch - near)) ** 2, 12)
     if not chroma.std():
         return None
     best = max((np.corrcoef(chroma, np.roll(p, t))[0, 1], -t, m) for m, p in ((False, MAJOR_PROFILE), (True, MINOR_PROFILE)) for t in range(12))

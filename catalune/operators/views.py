@@ -73,3 +73,8 @@ def keyset_page(df: DataFrame, cursor: str, after: int, limit: int, cost: str |
     # the page is bounded by limit, so one task may run through it
     w = W.orderBy(cursor).rowsBetween(W.unboundedPreceding, W.currentRow)
     return page.withColumns({"__run": F.sum(cost).over(w), "__n": F.row_number().over(W.orderBy(cursor))}).where((F.col("__run") <= budget) | (F.col("__n") == 1)).drop("__run", "__n")
+
+
+def locale_key(c: Column) -> Column:
+    """To sort texts as a reader expects: by the root locale, case and accents aside."""
+    return F.collate(c, "UNICODE_CI_AI")

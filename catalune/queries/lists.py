@@ -142,8 +142,19 @@ def list_query(t):
     return out.select("p_partkey", "p_name", "p_brand", "p_size", "s_name", F.col("place").cast("long").alias("place"))
 
 
+@query("locale_sort", "T3", """WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'É' WHEN 1 THEN 'e' WHEN 2 THEN 'E' ELSE 'f' END || lpad(cast(s_suppkey * 7 % 101 AS VARCHAR), 4, '0') AS name FROM supplier)
+       SELECT s_suppkey, name, row_number() OVER (ORDER BY strip_accents(lower(name)), s_suppkey) AS place FROM s""")
+def locale_sort(t):
+    from catalune.operators.views import locale_key
+    from catalune.plans.listing import global_position
+
+    first = F.element_at(F.array(*map(F.lit, ["É", "e", "E", "f"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    d = t.supplier.select("s_suppkey", F.concat(first, F.lpad((F.col("s_suppkey") * 7 % 101).cast("string"), 4, "0")).alias("name"))
+    return global_position(d, [locale_key(F.col("name")), F.col("s_suppkey")], "place").select("s_suppkey", "name", "place")
+
+
 @query(
-    "sort_up_down", "T1 T2 T3",
+    "sort_up_down", "T1 T2",
     """WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS bal FROM customer)
        SELECT c_custkey, row_number() OVER (ORDER BY bal NULLS LAST, c_custkey) AS up, row_number() OVER (ORDER BY bal DESC NULLS FIRST, c_custkey DESC) AS down FROM k""",
 )

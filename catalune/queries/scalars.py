@@ -386,7 +386,8 @@ def deep_equality(t):
 
 @query(
     "safe_names", "S21 W12",
-    r"""SELECT page_id, CASE WHEN n = '' THEN '_' ELSE n END AS name FROM (SELECT page_id, regexp_replace(trim(substr(trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g')), 1, 120)), '[. ]+$', '') AS n FROM pages)""",
+    r"""WITH n AS (SELECT page_id, coalesce(nullif(rtrim(trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), '. '), ''), 'Untitled') AS n FROM pages), e AS (SELECT *, regexp_extract(n, '.(\.[^.]{0,7})$', 1) AS ext FROM n)
+       SELECT page_id, CASE WHEN length(n) > 120 THEN rtrim(substr(n, 1, 120 - length(ext)), '. ') || ext ELSE n END AS name FROM e""",
 )
 def safe_names(t):
     return t.pages.select("page_id", X.safe_name(F.col("url")).alias("name"))

@@ -53,3 +53,12 @@ def tempo_and_key(t):
 def sound_fingerprints(t):
     d = S.tones(t.nation.select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), F.lit(120.0).alias("bpm")))
     return S.fingerprints(d).select("id", F.size("words").alias("n"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w)).alias("mix"))
+
+
+@query("sound_examined", "D8 D9 D10")
+def sound_examined(t):
+    from catalune.operators import sound
+
+    d = S.tones(t.nation.select(F.col("n_nationkey").alias("id"), (220.0 * F.pow(F.lit(2.0), F.col("n_nationkey") / 12)).alias("hz"), F.lit(120.0).alias("bpm"))).withColumn("bpm", F.lit(120.0))
+    most = lambda c: F.array_max(c).alias(c)
+    return sound.examined(d).select("id", F.round("fc", 3).alias("fc"), "wall", F.round("reach", 3).alias("reach"), F.round("beat0", 4).alias("beat0"), "bar", F.size("low").alias("points"), most("low"), most("peak"))

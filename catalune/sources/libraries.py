@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +99,38 @@ def snapshots_kept(names: list[str], keep: int = 14) -> list[str]:
     """Of dated snapshot names the newest; of each day the last."""
     last = {n[:10]: n for n in sorted(names)}
     return sorted(last.values())[-keep:]
+
+
+def backup(spark: SparkSession, root: str, target: str) -> DataFrame:
+    """Copies all files under a root to ``target``, read and written file by file on executors, and then a manifest:
+    path, length, digest. A backup without manifest isn't whole. Returns the manifest."""
+    from catalune.operators.graphs import kept
+
+    base = root.rstrip("/")
+    rel = F.regexp_replace("path", r"^.*?" + re.escape(base.split("://")[-1].lstrip("/")) + "/", "")
+    rows = files(spark, root).select(rel.alias("path"), "length", F.sha2("content", 256).alias("digest"), "content")
+    rows.write.mode("errorifexists").parquet(f"{target}/files")
+    manifest = kept(spark.read.parquet(f"{target}/files").select("path", "length", "digest"))
+    manifest.write.parquet(f"{target}/manifest")
+    return manifest
+
+
+def restored(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """(files that are as the manifest says, paths that are missing or damaged) of a backup."""
+    have = spark.read.parquet(f"{target}/files").withColumn("now", F.sha2("content", 256))
+    said = spark.read.parquet(f"{target}/manifest")
+    good = have.join(said, ["path", "digest"], "left_semi").where("now = digest").select("path", "content")
+    return good, said.join(good.select("path"), "path", "left_anti").select("path")
+
+
+def write_whole(path: str, data: bytes) -> None:
+    """Writes a small file beside its place and moves it there, so that a reader sees the old or the new one, whole."""
+    import uuid
+
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    tmp = f"{at}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(tmp) as out:
+        out.write(data)
+    system.move(tmp, at)

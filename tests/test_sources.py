@@ -166,3 +166,22 @@ def test_follow(spark, tmp_path):
     assert names(changed) == ["b"] and names(gone) == ["c"] and names(seen) == ["a", "b"]
     changed, gone, _ = look(spark, str(tmp_path), seen)
     assert names(changed) == names(gone) == []
+
+
+def test_backup_and_restore(spark, tmp_path):
+    (tmp_path / "lib" / "sub").mkdir(parents=True)
+    (tmp_path / "lib" / "a.json").write_text("{}")
+    (tmp_path / "lib" / "sub" / "b.json").write_text("[1]")
+    out = str(tmp_path / "backup")
+    manifest = libraries.backup(spark, str(tmp_path / "lib"), out)
+    assert sorted((r["path"], r["length"]) for r in manifest.collect()) == [("a.json", 2), ("sub/b.json", 3)]
+    good, bad = libraries.restored(spark, out)
+    assert {r["path"]: bytes(r["content"]) for r in good.collect()} == {"a.json": b"{}", "sub/b.json": b"[1]"} and bad.count() == 0
+    kept = spark.read.parquet(f"{out}/files").where("path = 'a.json'").collect()
+    spark.createDataFrame(kept).write.mode("append").parquet(f"{tmp_path}/other/files")
+    manifest.write.parquet(f"{tmp_path}/other/manifest")
+    good, bad = libraries.restored(spark, f"{tmp_path}/other")
+    assert [r["path"] for r in good.collect()] == ["a.json"] and [r["path"] for r in bad.collect()] == ["sub/b.json"]
+    libraries.write_whole(str(tmp_path / "x.json"), b"1")
+    libraries.write_whole(str(tmp_path / "x.json"), b"2")
+    assert (tmp_path / "x.json").read_bytes() == b"2" and not list(tmp_path.glob("*.tmp"))
