@@ -169,8 +169,13 @@ def row_hash(id_col: str, text_col: str, source_col: str):
 
 
 def _each(rows: DataFrame, units: DataFrame, id_col: str, h_col: str, keys: list[str], scratch: Scratch) -> DataFrame:
-    """rows with copies: those of their unit, shared out as evenly as can be among its equal rows."""
+    """rows with copies: those of their unit, shared out as evenly as can be among its equal rows.
+
+    Rows cross the shuffle once; only where some are equal, these are looked up once more, to be numbered.
+    """
     both = rows.join(units, F.col(id_col).eqNullSafe(F.col("uid")) & (F.col(h_col) == F.col("uh")))
+    if units.where("m > 1").isEmpty():
+        return both.withColumn("copies", F.col("k").cast("int"))
     alone = both.where("m = 1").withColumn("copies", F.col("k").cast("int"))
     many = numbered(both.where("m > 1"), keys, scratch, "repeated")
     many = many.withColumn("copies", (F.floor(F.col("k") / F.col("m")) + (F.col("i") < F.col("k") % F.col("m")).cast("int")).cast("int")).drop("i")
