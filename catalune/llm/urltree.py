@@ -84,8 +84,8 @@ def agglomerated(cells: Column) -> Column:
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, template, purity (the smoothed share of bad labels).
 
-    Labelled are urls that a rule judges, and pages whose id is in ``labels`` (``bad`` tells which are bad; null
-    ids and verdicts are passed over, several of one id are averaged). Repeated pages count as often as they occur.
+    Labelled are pages that no rule judges and whose id is in ``labels`` (``bad`` tells which are bad; null ids and
+    verdicts are passed over, several of one id are averaged). Repeated pages count as often as they occur.
     Pages without host are a host of their own, "". Extra columns aren't read; an empty table gives an empty one.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -98,7 +98,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
         rows = rows.join(each, F.col("id") == F.col("lid"), "left").drop("lid")
     else:
         rows = rows.withColumn("bad", F.lit(None).cast("double"))
-    known = F.coalesce(F.when(F.col("said").isNotNull(), (F.col("said") == "block").cast("double")), F.col("bad"))
+    # a rule speaks for its own urls only: as labels, its verdicts would taint the sections beside them
+    known = F.when(F.col("said").isNull(), F.col("bad"))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = scratch.keep(rows.select("id", "host", "path", "rule", "said", known.alias("known"), segs.alias("segs")), "rows")
     urls = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("known").alias("l"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))

@@ -22,7 +22,7 @@ def tree(pages, bad):
         host, path, rule, said = judged(url)
         key = (host, tuple(x for x in path.split("/") if x))
         where[i] = key
-        known = (said == "block") if said else bad.get(i)
+        known = None if said else bad.get(i)
         urls[key][0] += 1
         if known is not None:
             urls[key][1] += 1
