@@ -56,18 +56,23 @@ def fold(id_col: str, mod: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(-1))
 
 
-def label_sample(labels: DataFrame, id_col: str, label_col: str, train, per_class: int) -> DataFrame:
-    """At most per_class ids of each class (0, 1), the first by hash of the id: (id, y).
+def label_rows(labels: DataFrame, id_col: str, label_col: str, train) -> DataFrame:
+    """The ids of each class (0, 1): (id, y).
 
     Rows without id or label are left out, as are ids whose rows disagree; ``train`` is a condition on the rows.
     """
-    y = (
+    return (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & train)
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y1"))
         .where("y = y1")
         .drop("y1")
     )
+
+
+def label_sample(labels: DataFrame, id_col: str, label_col: str, train, per_class: int) -> DataFrame:
+    """At most per_class of label_rows of each class, the first by hash of the id: (id, y)."""
+    y = label_rows(labels, id_col, label_col, train)
     one = lambda k: y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
     return one(0).unionByName(one(1))
 

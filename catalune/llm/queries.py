@@ -44,10 +44,9 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from catalune.llm.isoforest import judge, train
+    from catalune.llm.isoforest import train_and_judge
 
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+    return train_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:

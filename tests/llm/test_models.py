@@ -128,6 +128,37 @@ def test_rules(spark, docs, labels, odd):
     assert isoforest.judge(odd, isoforest.train(odd.limit(0), labels)).count() == 13
 
 
+def test_forest_of_all_labelled_rows(spark):
+    """More labelled rows of a class than 4,000, against the trees' own calibration over all of them."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    text = lambda i: " ".join(rnd.choices(words, k=rnd.randint(20, 60))) + " %$" * (rnd.randint(3, 20) if i % 10 == 0 and i % 40 else rnd.randint(0, 3))
+    rows = [(i, text(i)) for i in range(9000)] + [(3, "no word of the first three"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(8900)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    known = [(i, t) for i, t in rows if i < 8900 and i != 1]
+    x = isoforest.ratios(np.array([isoforest.statistics((t or "").encode()) for _, t in known], float))
+    good = np.array([i % 10 > 0 for i, _ in known])
+    f = isoforest.train(d, y)
+    assert f.rows == 256 and f.least == isoforest.calibrate(f, x, good) and good.sum() > 8000
+    got = isoforest.train_and_judge(d, y).collect()
+    want = isoforest.judge(d, f).collect()
+    key = lambda r: (r["doc_id"], r["n_words"])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 9002
+    own = isoforest.labelled(isoforest.measured(d), y).where("y = 1")
+    each = isoforest.draws(own, int(good.sum()))
+    assert len(each) == 128 and all(len(e) == 256 for e in each) and len({tuple(r) for e in each for r in e}) > 4500
+    assert [len(e) for e in isoforest.draws(own.limit(100), 100, 3)] == [100] * 3
+
+
+def test_forest_of_few_labels(spark, odd, labels):
+    assert isoforest.train_and_judge(odd.limit(0), labels).count() == 0
+    for rows in ([], [(1, 1), (2, 1)], [(1, 0), (8, 0)], [(1, 1), (8, 0), (9, 1)]):
+        y = spark.createDataFrame(rows, "doc_id long, quality int")
+        assert isoforest.train_and_judge(odd, y).count() == 13
+        assert (isoforest.train(odd, y).least == 2.0) == (len({q for _, q in rows}) < 2)
+
+
 def test_every_language_is_learned(spark):
     rnd = random.Random(7)
     own = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(71 * 60)]
