@@ -162,61 +162,88 @@ class Windows:
             pairs = np.unique(np.stack([which.ravel(), np.concatenate(of)]), axis=1)  # window, item
             self.groups.append((vocab, table, (table > 0).sum(1), Owners(np.searchsorted(pairs[0], np.arange(len(table) + 1)), pairs[1], list(names))))
 
-    def hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set]]:
-        """Of each document: number of words, the places of hit words, and the items with occurring windows."""
-        return self.found([words_of(t) for t in texts])
-
-    def found(self, split: list[list[bytes]]) -> list[tuple[int, np.ndarray, set]]:
-        places: list[list[np.ndarray]] = [[] for _ in split]
-        items: list[set] = [set() for _ in split]
-        for vocab, table, lengths, of in self.groups:
-            get, least = vocab.get, int(lengths.min())
-            doc, start, run = [], [], []
-            for d, w in enumerate(split):
+    def hits(self, texts: Iterable[bytes]) -> list[tuple[int, np.ndarray, set]]:
+        """Of each document: number of words, the places of hit words, and the items with occurring windows.
+
+        One document is split at a time, and of its words only runs that can hold a window are kept, as numbers, until
+        a shard of them is full."""
+        places: list[list[np.ndarray]] = []
+        items: list[set] = []
+        counts: list[int] = []
+        shards = [_Shard(places, items, *g[1:]) for g in self.groups]
+        known = [(g[0].get, int(g[2].min())) for g in self.groups]
+        for d, text in enumerate(texts):
+            w = words_of(text)
+            counts.append(len(w))
+            places.append([])
+            items.append(set())
+            for (get, least), shard in zip(known, shards, strict=True):
                 ids = np.zeros(len(w) + 2, np.int32)
                 ids[1:-1] = np.fromiter(map(get, w, repeat(0)), np.int32, len(w))
                 edge = np.flatnonzero(np.diff(ids > 0))
                 a, z = edge[::2], edge[1::2]
-                for i, j in zip(a[z - a >= least].tolist(), z[z - a >= least].tolist(), strict=True):
-                    doc.append(d)
-                    start.append(i)
-                    run.append(ids[i + 1 : j + 1])
-            at = 0
-            while at < len(run):
-                to, n = at, 0
-                while to < len(run) and (to == at or n + len(run[to]) < SHARD):
-                    n += len(run[to]) + 1
-                    to += 1
-                self._shard(run[at:to], doc[at:to], start[at:to], table, lengths, of, places, items)
-                at = to
-        return [(len(w), np.unique(np.concatenate(p)) if p else np.empty(0, np.int64), i) for w, p, i in zip(split, places, items, strict=True)]
-
-    @staticmethod
-    def _shard(run, doc, start, table, lengths, of, places, items) -> None:
-        ends = np.cumsum([len(r) + 1 for r in run])
-        text = np.zeros(int(ends[-1]), np.int32)
-        for r, e in zip(run, ends.tolist(), strict=True):
-            text[e - 1 - len(r) : e - 1] = r
+                long = z - a >= least
+                if long.any():
+                    shard.add(d, ids, a[long], z[long])
+        for shard in shards:
+            shard.search()
+        return [(n, np.unique(np.concatenate(p)) if p else np.empty(0, np.int64), i) for n, p, i in zip(counts, places, items, strict=True)]
+
+
+class _Shard:
+    """Runs that wait to be indexed together: SHARD symbols at most, unless one run has more. What is found is added
+    to the documents' places and items."""
+
+    def __init__(self, places: list[list[np.ndarray]], items: list[set], table: np.ndarray, lengths: np.ndarray, of: Owners):
+        self.places, self.items, self.table, self.lengths, self.of = places, items, table, lengths, of
+        self.wait, self.n = [], 0
+
+    def add(self, d: int, ids: np.ndarray, a: np.ndarray, z: np.ndarray) -> None:
+        """Document d's runs of words [a, z); ids has a 0 before its words, behind them, and so behind each run."""
+        upto, at = np.cumsum(z - a + 1), 0
+        while at < len(a):
+            before = int(upto[at - 1]) if at else 0
+            to = int(np.searchsorted(upto, before + SHARD - self.n, side="right"))
+            if to <= at and self.wait:
+                self.search()
+                continue
+            to = max(to, at + 1)
+            marks = np.zeros(len(ids) + 1, np.int8)
+            marks[a[at:to] + 1] += 1
+            marks[z[at:to] + 2] -= 1
+            self.wait.append((d, a[at:to], z[at:to], ids[np.cumsum(marks[:-1], dtype=np.int8) > 0]))
+            self.n += int(upto[to - 1]) - before
+            at = to
+
+    def search(self) -> None:
+        if not self.wait:
+            return
+        docs, a, z, text = zip(*self.wait, strict=True)
+        self.wait, self.n = [], 0
+        doc = np.repeat(docs, [len(x) for x in a])
+        start, ends, text = np.concatenate(a), np.cumsum(np.concatenate(z) - np.concatenate(a) + 1), np.concatenate(text)
         index = FMIndex(text)
-        lo, hi = index.search(table, lengths)
+        lo, hi = index.search(self.table, self.lengths)
         n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        at = index.locate(rows)
+        upto, w = np.cumsum(n), 0
         marks = np.zeros(len(text) + 1, np.int64)
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + lengths[which], -1)
+        while w < len(n):  # as many windows as occur SHARD times together, or one
+            to = max(w + 1, int(np.searchsorted(upto, (upto[w - 1] if w else 0) + SHARD, side="right")))
+            m = n[w:to]
+            which = np.repeat(np.arange(w, to), m)
+            at = index.locate(np.repeat(lo[w:to] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum())))
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + self.lengths[which], -1)
+            for d, k in zip(*np.divmod(np.unique(doc[np.searchsorted(ends, at, side="right")] * len(n) + which), len(n)), strict=True):
+                self.items[d].update(self.of[k])
+            w = to
         hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
         r = np.searchsorted(ends, hit, side="right")
         begins = np.concatenate([[0], ends[:-1]])
-        doc, start = np.array(doc), np.array(start)
         where = hit - begins[r] + start[r]
         cut = np.flatnonzero(np.diff(doc[r])) + 1
         for d, p in zip(doc[r[np.concatenate([[0], cut])]] if len(r) else (), np.split(where, cut), strict=False):
-            places[d].append(p)
-        at_doc = doc[np.searchsorted(ends, at, side="right")]
-        for d, w in np.unique(np.stack([at_doc, which]), axis=1).T.tolist():
-            items[d].update(of[w])
+            self.places[d].append(p)
 
 
 def blocks_of(benchmark: DataFrame, size: int, id_col: str, text_col: str, block: int, scratch: Scratch) -> list[str]:
@@ -295,7 +322,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
         for b in batches:
             for part in slices(b, rows=10_000, size=SHARD_BYTES):
                 cols: list[list] = [[] for _ in range(6)]
-                for n, places, items in searched(paths, as_bytes(part, "text")):
+                for n, places, items in searched(paths, part, "text"):
                     for c, v in zip(cols, digest(n, places, items), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], names=_NAMES)
@@ -303,12 +330,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     return slim.mapInArrow(run, schema)
 
 
-def searched(paths: list[str], texts: list[bytes]) -> list[tuple[int, np.ndarray, set]]:
-    """Windows.found of a shard's texts, united over the blocks."""
-    split = [words_of(t) for t in texts]
-    out = [(len(w), np.empty(0, np.int64), set()) for w in split]
-    for path in paths:
-        out = [(n, np.union1d(p, q) if len(p) else q, i | j) for (n, p, i), (_, q, j) in zip(out, load(path).found(split), strict=True)]
+def searched(paths: list[str], part: pa.RecordBatch, text_col: str) -> list[tuple[int, np.ndarray, set]]:
+    """Windows.hits of a shard's texts, united over the blocks. Texts are split anew for each block: kept, their words
+    would take ten times the text."""
+
+    def texts():
+        return (t for few in slices(part, text_col, size=1 << 20) for t in as_bytes(few, text_col))
+
+    if not paths:
+        return [(len(words_of(t)), np.empty(0, np.int64), set()) for t in texts()]
+    out = load(paths[0]).hits(texts())
+    for path in paths[1:]:
+        out = [(n, np.union1d(p, q) if len(p) else q, i | j) for (n, p, i), (_, q, j) in zip(out, load(path).hits(texts()), strict=True)]
     return out
 
 
@@ -329,6 +362,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, tex
     def run(batches):
         for b in batches:
             for part in slices(b, text_col, rows=10_000, size=SHARD_BYTES):
-                yield part.filter(pa.array([not (len(p) and 20 * len(p) >= n) for n, p, _ in searched(paths, as_bytes(part, text_col))], pa.bool_()))
+                yield part.filter(pa.array([not (len(p) and 20 * len(p) >= n) for n, p, _ in searched(paths, part, text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
